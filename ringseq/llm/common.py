@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ringseq.deploy import ship
+
 #: White space that separates words: space and the bytes 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,12 +31,13 @@ def new_dir(spark: SparkSession, name: str) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it from there. Lost executors cost no recomputation of what came before."""
     path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound an Arrow batch of long texts to so many rows; a smaller setting stays."""
+    """Before Python runs on executors: ship the package, and bound an Arrow batch of long texts to so many rows; a smaller setting stays."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))

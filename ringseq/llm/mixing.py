@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, words
+from .common import save, small_batches, words
 
 
 def targets(sizes: dict, weights: list[float], total: float | None = None, max_repeats: float = 3.0) -> dict:
@@ -60,6 +60,7 @@ def _first_fit(zone: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, weights: list[float], max_repeats: float = 3.0, total: float | None = None, seed: int = 2, carry: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, copies, taken = copies x size; and the columns to carry."""
     carry = carry or []
+    small_batches(docs.sparkSession, 1000)
     size = words(F.col("text"))
     rows = save(docs.select("doc_id", "source", size.alias("size"), _uniform(seed, F.col("doc_id"), size, F.col("text")).alias("u"), *(F.col(c).alias(f"carried_{c}") for c in carry)), "sizes")
     # one row for each source: a mix names its sources, so there are few
