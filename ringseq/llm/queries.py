@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, packing, quality, sharding, simhash
+from . import chat, egojoin, media, mixing, packing, quality, sharding, simhash, warc
 from .common import save, small_batches, table
 
 #: Weights of the sources of the mix, repeating over them in order.
@@ -28,6 +28,19 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("uri"), F.encode("html", "UTF-8").alias("payload"))
+    chunks = warc.read(spark, warc.write(warc.roles(pages)), keep_data=False).where("last")
+    revisit = F.col("record_type") == "revisit"
+    return chunks.select(
+        F.col("record_id").try_cast("long").alias("page_id"),
+        F.when(revisit, F.col("declared_bytes")).otherwise(F.col("bytes_so_far")).alias("payload_bytes"),
+        F.when(revisit, F.col("declared_digest")).otherwise(F.col("digest_so_far")).alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").try_cast("long").alias("refers_to"),
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -54,13 +67,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_egojoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egojoin.similar(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
+    "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
     "op6_media": op6_media,
     "op7_simhash": op7_simhash,
     "op8_chat": op8_chat,
     "op9_packing": op9_packing,
+    "op10_egojoin": op10_egojoin,
 }
 ORACLE_SQL: dict[str, str] = {}
