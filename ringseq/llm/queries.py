@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, egojoin, media, mixing, packing, quality, sharding, simhash, warc
+from . import chat, egojoin, extraction, media, mixing, packing, quality, sharding, simhash, warc
 from .common import save, small_batches, table
 
 #: Weights of the sources of the mix, repeating over them in order.
@@ -45,6 +45,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     stored = save(table(spark, sf_dir, "documents").select("doc_id", media.encoded(F.col("text")).alias("media")), "media")
@@ -76,6 +81,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
+    "op5_extraction": op5_extraction,
     "op6_media": op6_media,
     "op7_simhash": op7_simhash,
     "op8_chat": op8_chat,
