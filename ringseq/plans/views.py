@@ -21,6 +21,12 @@ def _sql_hashed(key: str, blocks: str) -> str:
     return f"translate(array_to_string(list_transform(range(1, 1 + {blocks}), lambda j: md5(({key}) || '-' || j)), ''), '{_HEX}', '{_BASES}')"
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Keys in as many partitions as there are cores: a small file is one task otherwise, and what follows is work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select(F.col("doc_id").alias("ord"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(" "), "lang").alias("head"), F.regexp_replace("text", "[^ACGTUNacgtun]", "").alias("seq"))
@@ -29,12 +35,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey").cast("long")
     d = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("k"))
+    d = _spread(d)
     return d.select(F.col("k").alias("ord"), F.concat(F.lit("o"), F.col("k").cast("string"), F.lit(" order")).alias("head"), _hashed(F.col("k"), (4 + F.col("k") % 7).cast("int")).alias("seq"))
 
 
 def multimers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A monomer of 20 to 60 bases once to three times, with a part of it at the end, and every fifth with a mutation."""
     d = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("int").alias("k"))
+    d = _spread(d)
     mono = F.substring(_hashed(F.col("k"), F.lit(2)), F.lit(1), 20 + F.col("k") % 41)
     whole = F.concat(F.expr("repeat(m, 1 + k % 3)"), F.expr("substring(m, 1, k % 17)"))
     changed = F.concat(F.substring("w", 1, 2), F.translate(F.substring("w", 3, 1), "ACGT", "CGTA"), F.expr("substring(w, 4)"))
@@ -45,6 +53,7 @@ def multimers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three customers share a circle: turned, of either polarity, some as lower-case RNA."""
     d = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"))
+    d = _spread(d)
     d = d.withColumn("b", _hashed((F.col("k") / 3).cast("long"), F.lit(1))).withColumn("r", (F.col("k") * 7 % 32).cast("int"))
     d = d.withColumn("t", F.concat(F.expr("substring(b, r + 1)"), F.expr("substring(b, 1, r)")))
     d = d.withColumn("t", F.when(F.col("k") % 2 == 1, F.translate(F.reverse("t"), "ACGT", "TGCA")).otherwise(F.col("t")))
