@@ -1,6 +1,7 @@
 """Web archives as a table of chunks.
 
-write() makes one archive file for each partition of its rows, record by record and slice by slice. read() gives one row
+write() makes one archive file for each partition of its rows, record by record and slice by slice, each record a gzip
+member of its own as is usual for archives. read() gives one row
 for each chunk of a record's payload: record identifier, chunk number, bytes, and the digest and length of the payload up
 to and with this chunk; the last chunk's are the whole payload's. A record is never held whole: a reader keeps one chunk.
 Archives are split between tasks by file.
@@ -14,6 +15,7 @@ payload) are all responses if they are the one to keep; an empty table gives arc
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -47,13 +49,13 @@ def roles(pages: DataFrame, shared_from: int = 1000) -> DataFrame:
 
 
 def open_file(path: str, mode: str) -> BinaryIO:
-    """A file of any store that pyarrow knows, by URI."""
+    """A file of any store that pyarrow knows, by URI; one that ends in .gz is unpacked as it is read."""
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(path)
     if mode == "rb":
-        return store.open_input_stream(inner)
-    return store.open_output_stream(inner)
+        return gzip.GzipFile(fileobj=store.open_input_stream(inner, compression=None)) if path.endswith(".gz") else store.open_input_stream(inner, compression=None)
+    return store.open_output_stream(inner, compression=None)
 
 
 def rename(path: str, to: str) -> None:
@@ -108,26 +110,24 @@ def write(records: DataFrame, path: str | None = None) -> DataFrame:
 
         from pyspark import TaskContext
 
-        to = f"{path}/part-{TaskContext.get().partitionId():06d}.warc"
+        to = f"{path}/part-{TaskContext.get().partitionId():06d}.warc.gz"
         part, n = f"{to}.{uuid.uuid4().hex}.open", 0
         with open_file(part, "wb") as out:
             for d in it:
-                for row in zip(*(d[c].astype(object).where(d[c].notna(), None).tolist() for c in ("page_id", "uri", "payload", "digest", "bytes", "refers_to"))):
-                    write_record(out, _whole(row[0]), row[1], bytes(row[2]), row[3], int(row[4]), _whole(row[5]))
+                for row in zip(*(d[c].tolist() for c in ("page_id", "uri", "payload", "digest", "bytes", "refers_to"))):
+                    with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=3, mtime=0) as member:
+                        write_record(member, row[0], row[1], bytes(row[2]), row[3], row[4], row[5])
                     n += 1
             size = out.tell()
         rename(part, to)
         yield pd.DataFrame({"file": [to], "records": [n], "bytes": [size]})
 
-    done = records.select("page_id", "uri", "payload", "digest", "bytes", F.col("refers_to")).mapInPandas(f, "file string, records long, bytes long")
+    # identifiers as text: a column of whole numbers and nulls would be floats in pandas
+    done = records.select(F.col("page_id").cast("string").alias("page_id"), "uri", "payload", "digest", "bytes", F.col("refers_to").cast("string").alias("refers_to")).mapInPandas(f, "file string, records long, bytes long")
     rows = done.collect()  # one row for each archive
     return spark.createDataFrame(rows, done.schema)
 
 
-def _whole(x: object) -> object:
-    return int(x) if isinstance(x, float) else x
-
-
 def _make(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
