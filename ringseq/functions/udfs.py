@@ -5,21 +5,22 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 from . import kernels
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _lmsr(s: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else kernels.lmsr(x.encode()).decode() for x in s], dtype=object)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _lmsr_index(s: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else kernels.lmsr_index(x.encode()) for x in s], dtype="Int32")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _canonical(s: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else kernels.canonicalize(x.encode()).decode() for x in s], dtype=object)
 
