@@ -1,8 +1,9 @@
-"""Make this package importable in executors' Python workers."""
+"""What a job needs on a cluster: the package in executors' Python workers, and a folder that all machines share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,25 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(to))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as a URI: spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="ringseq-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+    return f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def new_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark)}/ringseq-{name}-{uuid.uuid4().hex}"
+
+
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """What is there goes when the application ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringseq.deploy import ship
+from ringseq.deploy import drop_at_end, new_dir, ship
 from ringseq.functions import exprs, udfs
 from ringseq.operators import ops
 from ringseq.sources import fasta
@@ -178,8 +178,9 @@ _add("orfs_documents", "documents", lambda d: ops.orfs_table(d, min_length=30),
 
 def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' sequences written as compressed FASTA by the data source, and read again."""
-    path = fasta.scratch(spark, "fasta")
+    path = new_dir(spark, "fasta")
     fasta.write_fasta(VIEWS["documents"](spark, sf_dir), path, single_file=False, compression="zst")
+    drop_at_end(spark, path)
     return fasta.read_fasta(spark, path).select("head", "seq")
 
 

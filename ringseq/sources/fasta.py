@@ -321,13 +321,3 @@ def write_table(df: DataFrame, path: str) -> None:
                 first = False
             out.writerow(["" if x is None else x for x in r])
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="ringseq-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/ringseq-{name}-{uuid.uuid4().hex}"
