@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringseq.deploy import ship
+from ringseq.deploy import drop_at_end, new_dir, ship
 
 #: White space that separates words: space and the bytes 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, as in tests, a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="ringseq-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base if ":" in base.split("/")[0] else f"file://{base}"
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/ringseq-{name}-{uuid.uuid4().hex}"
-
-
 def save(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it from there. Lost executors cost no recomputation of what came before."""
     path = new_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    drop_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_dir, small_batches
+from .common import drop_at_end, new_dir, small_batches
 
 #: Lines of a WARC 1.1 record (fixed values).
 VERSION = b"WARC/1.1\r\n"
@@ -102,8 +102,10 @@ def write(records: DataFrame, path: str | None = None) -> DataFrame:
     and returns their list: file, records, bytes. A task that runs again replaces its own file."""
     spark = records.sparkSession
     small_batches(spark, 64)
-    path = path or new_dir(spark, "warc")
+    own, path = path is None, path or new_dir(spark, "warc")
     _make(spark, path)
+    if own:
+        drop_at_end(spark, path)
 
     def f(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
