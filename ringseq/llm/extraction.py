@@ -2,7 +2,7 @@
 
 Every block element and every run of text is a variable, content or not. A node's own potential is a weighted sum of
 features: its element, the words of its class, id and role, and for text its length, links and marks. A parent and a child
-share a potential of two by two, one for element children and one for text children. Messages go upward from the leaves and
+share a potential of two by two, of four kinds: for element or text children, below the page's body or further down. Messages go upward from the leaves and
 downward from the root (sum-product), and give each node's exact marginal, as the graph is a tree. Runs of text whose
 marginal is at least one half are the blocks of the main text.
 
@@ -67,20 +67,20 @@ def _element(n: Node) -> list[int]:
 
 
 def graph(pages: list[list[Node]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Features, parents, nodes by depth, and whether a node is text, of several pages' trees."""
+    """Features, parents, nodes by depth, and each node's kind of edge (2 for text, 1 more below the body), of several pages' trees."""
     total = sum(map(len, pages))
-    x, parent, depth, text = np.zeros((total, WIDTH)), np.full(total, -1), np.zeros(total, np.int64), np.zeros(total, bool)
+    x, parent, depth, kind = np.zeros((total, WIDTH)), np.full(total, -1), np.zeros(total, np.int64), np.zeros(total, np.int64)
     c, base = _COLUMN, 0
     for nodes in pages:
         for i, n in enumerate(nodes):
             k = base + i
             if n.parent >= 0:
                 parent[k], depth[k] = base + n.parent, depth[base + n.parent] + 1
+                kind[k] = 2 * (n.text is not None) + (_TAG_OF.get(nodes[n.parent].tag) == "page")
             if n.text is None:
                 x[k, _element(n)] = 1
                 continue
             size, under = len(n.text), _TAG_OF.get(nodes[n.parent].tag, nodes[n.parent].tag)
-            text[k] = True
             x[k, c["text"]] = 1
             x[k, c["long"]] = min(1.0, size / 80)
             x[k, c["longer"]] = min(1.0, size / 400)
@@ -93,21 +93,21 @@ def graph(pages: list[list[Node]]) -> tuple[np.ndarray, np.ndarray, list[np.ndar
         base += len(nodes)
     order = np.argsort(depth, kind="stable")
     cuts = np.flatnonzero(np.diff(depth[order])) + 1
-    return x, parent, np.split(order, cuts), text
+    return x, parent, np.split(order, cuts), kind
 
 
 class Model:
-    """weights by feature; table [2 kinds of child, 2, 2]: parent's label, child's label."""
+    """weights by feature; table [4 kinds of edge, 2, 2]: parent's label, child's label."""
 
     def __init__(self, weights: np.ndarray, table: np.ndarray):
         self.weights, self.table = weights, table
 
-    def marginals(self, x: np.ndarray, parent: np.ndarray, levels: list[np.ndarray], text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def marginals(self, x: np.ndarray, parent: np.ndarray, levels: list[np.ndarray], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(content) of each node, and [n, 2, 2] of each node with its parent (zeros at roots)."""
         n = len(x)
         up = np.zeros((n, 2))  # own potential and the children's messages
         up[:, 1] = x @ self.weights
-        edge, message = self.table[text.astype(int)], np.zeros((n, 2))
+        edge, message = self.table[kind], np.zeros((n, 2))
         for own in levels[:0:-1]:
             s = edge[own] + up[own][:, None, :]
             message[own] = np.logaddexp(s[:, :, 0], s[:, :, 1])
@@ -126,25 +126,19 @@ class Model:
         return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -50, 50))), pair
 
 
-def train(n: int = 400, seed: int = 5, steps: int = 200, l2: float = 0.003) -> Model:
+def train(n: int = 500, seed: int = 5, steps: int = 200, l2: float = 0.003) -> Model:
     """Fit on n labelled pages."""
-    trees = [tree(h) for h in pages(n, seed)]
-    x, parent, levels, text = graph(trees)
-    y = np.zeros(len(x))
-    base = 0
-    for nodes in trees:
-        for i, node in enumerate(nodes):
-            own = node.attrs.get("data-y")
-            y[base + i] = float(own) if own else y[parent[base + i]] if node.parent >= 0 else 0.0
-        base += len(nodes)
+    labelled = [labels_of(tree(h)) for h in pages(n, seed)]
+    trees, y = [t for t, _ in labelled], np.array([v for _, own in labelled for v in own], float)
+    x, parent, levels, kind = graph(trees)
     inner = np.concatenate(levels[1:])
-    seen = np.zeros((2, 2, 2))
-    np.add.at(seen, (text[inner].astype(int), y[parent[inner]].astype(int), y[inner].astype(int)), 1)
-    model = Model(np.zeros(WIDTH), np.zeros((2, 2, 2)))
+    seen = np.zeros((4, 2, 2))
+    np.add.at(seen, (kind[inner], y[parent[inner]].astype(int), y[inner].astype(int)), 1)
+    model = Model(np.zeros(WIDTH), np.zeros((4, 2, 2)))
     m, v = [0.0, 0.0], [0.0, 0.0]
     for t in range(1, steps + 1):
-        p, pair = model.marginals(x, parent, levels, text)
-        hoped = np.stack([pair[~text].sum(axis=0), pair[text].sum(axis=0)])
+        p, pair = model.marginals(x, parent, levels, kind)
+        hoped = np.stack([pair[kind == k].sum(axis=0) for k in range(4)])
         for k, (value, g) in enumerate(((model.weights, (y - p) @ x), (model.table, seen - hoped))):
             g = g / len(trees) - l2 * value
             m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
@@ -152,6 +146,23 @@ def train(n: int = 400, seed: int = 5, steps: int = 200, l2: float = 0.003) -> M
     return model
 
 
+def labels_of(nodes: list[Node]) -> tuple[list[Node], list[int]]:
+    """A labelled page's nodes and labels. <x-text> marks content that has no element of its own; it is taken out."""
+    label: list[int] = []
+    for n in nodes:
+        own = n.attrs.get("data-y")
+        label.append(int(own) if own else label[n.parent] if n.parent >= 0 else 0)
+    at, kept, y = {-1: -1}, [], []
+    for i, n in enumerate(nodes):
+        if n.tag == "x-text":
+            at[i] = at[n.parent]
+            continue
+        at[i] = len(kept)
+        kept.append(Node(n.tag, at[n.parent], n.attrs, n.text, n.links))
+        y.append(label[i])
+    return kept, y
+
+
 def main_texts(model: Model, html: list[str | None]) -> list[str]:
     trees = [tree(h or "") for h in html]
     if not trees:
@@ -256,7 +267,10 @@ def _form(r: random.Random) -> str:
     inner = f"<label>{_sentence(r, 1, 5)}</label><input name=q>" + f"<select><option>{_word(r)}<option>{_word(r)}</select>" * (r.random() < 0.3) + f"<button>{_word(r)}</button>"
     if r.random() < 0.4:
         inner = f"<p>{_text(r, 2)}</p>" + inner
-    return _box(r, "form form form", "search newsletter login signup contact", inner)
+    if r.random() < 0.35:
+        inner = f"<h3>{_sentence(r, 1, 4)}</h3>" * (r.random() < 0.5) + f"<p>{_text(r, 2)}</p>" + f"<form>{inner}</form>"
+        return _box(r, "section div div", "newsletter newsletter-signup subscribe search-box login-box signup contact-form", inner, named=1.0)
+    return _box(r, "form", "search newsletter login signup contact", inner)
 
 
 def _notice(r: random.Random) -> str:
@@ -271,6 +285,8 @@ def _page(r: random.Random) -> str:
     head = f"<head><meta charset=utf-8><title>{_sentence(r)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
     title = f"<h1>{_sentence(r, 3, 10)}</h1>"
     blocks = [_block(r) for _ in range(r.choice((1, 2, 3, 5, 8, 12)))]
+    if r.random() < 0.08:
+        blocks = [f"<p>{' '.join(_word(r) for _ in range(r.randint(1, 4)))}{r.choice(('', '.'))}</p>"]
     for extra, chance in ((_advert, 0.25), (_share, 0.15), (_form, 0.05), (_notice, 0.05)):
         if r.random() < chance:
             blocks.insert(r.randint(0, len(blocks)), extra(r))
@@ -280,9 +296,13 @@ def _page(r: random.Random) -> str:
     article = _box(r, "article article article main div div section", "content article post entry-content story main-content article-body post-body text", inner, 1, 0.85)
     if r.random() < 0.25:
         article = f'<{(t := r.choice(("main", "div")))} data-y="0">{article}{_comments(r) * (r.random() < 0.3)}</{t}>'
+    elif (bare := r.random()) < 0.08:  # no element of its own: the blocks lie beside all others
+        article = "".join(re.sub(r"^<(\w+)(?![^>]*data-y)", r'<\1 data-y="1"', b) for b in ([title] if r.random() < 0.8 else []) + blocks)
+    elif bare < 0.12:
+        article = f'<x-text data-y="1">{_text(r)}</x-text>'
     before, after = [], []
     for put, make, chance in (
-        (before, lambda: _box(r, "header header div", "header masthead site-header branding top", f"<a href=/>{_word(r)}</a>" + f"<p>{_sentence(r)}</p>" * (r.random() < 0.5)), 0.5),
+        (before, lambda: _box(r, "header header div", "header masthead site-header branding top", r.choice((f"<a href=/>{_word(r)}</a>", f"<h1>{_sentence(r, 1, 3)}</h1>", f"<a href=/>{_sentence(r, 1, 3)}</a>")) + f"<p>{_sentence(r)}</p>" * (r.random() < 0.5)), 0.5),
         (before, lambda: _box(r, "nav nav nav ul div", "nav menu navigation navbar breadcrumbs main-menu", _links(r, r.choice(("li", "li", "span")))), 0.9),
         (before, lambda: _notice(r), 0.3),
         (before, lambda: _advert(r), 0.5),
