@@ -88,4 +88,18 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_egojoin": op10_egojoin,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The others need hashes, models or encodings that SQL doesn't have; tests hold them against brute force and round trips.
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM (SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND largest <> page_id THEN largest END AS refers_to
+  FROM (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS largest
+    FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages)))""",
+    "op10_egojoin": """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+fine AS (SELECT vec_id, e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a),
+c AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(least(c.low, vec_id), vec_id) AS component_id, coalesce(least(c.low, vec_id), vec_id) = vec_id AS kept
+FROM v LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+}
