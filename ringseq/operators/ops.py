@@ -60,10 +60,9 @@ def uniq(df: DataFrame, canonicalize: bool = False) -> DataFrame:
     ship(df.sparkSession)
     order = _order(df)
     keyed = df.withColumn("canonical_form", udfs.canonical(exprs.normalize_dna(F.col("seq"))))
-    rows = F.struct(*df.columns)
-    first = keyed.groupBy("canonical_form").agg(F.min_by(rows, F.struct(*order)).alias("kept"))
-    kept = first.select("canonical_form", "kept.*")
-    return kept.withColumn("seq", F.col("canonical_form")).select(*df.columns) if canonicalize else kept.select(*df.columns)
+    carried = [c for c in df.columns if not (canonicalize and c == "seq")]  # the form stands for the sequence: it is shuffled once
+    kept = keyed.groupBy("canonical_form").agg(F.min_by(F.struct(*carried), F.struct(*order)).alias("kept")).select("canonical_form", "kept.*")
+    return (kept.withColumnRenamed("canonical_form", "seq") if canonicalize else kept).select(*df.columns)
 
 
 def uniq_table(df: DataFrame) -> DataFrame:
@@ -73,7 +72,7 @@ def uniq_table(df: DataFrame) -> DataFrame:
     keyed = df.select(_id(df).alias("own_id"), place, udfs.canonical(exprs.normalize_dna(F.col("seq"))).alias("form"))
     first = keyed.groupBy("form").agg(F.min_by(F.struct("own_id", "place"), "place").alias("kept"), F.count("*").alias("n")).where("n > 1")
     # joined and not windowed: adaptive execution can split a form that very many records share
-    return keyed.join(first, "form").where(F.col("place") > F.col("kept.place")).select(F.col("kept.own_id").alias("id"), F.col("own_id").alias("duplicate_id"))
+    return keyed.join(first.withColumnRenamed("form", "of"), F.col("form").eqNullSafe(F.col("of"))).where(F.col("place") > F.col("kept.place")).select(F.col("kept.own_id").alias("id"), F.col("own_id").alias("duplicate_id"))
 
 
 def _ends(df: DataFrame, o: MonomerizeOptions) -> DataFrame:
