@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
+from .packing import encoder
 
 START, END = "<|im_start|>", "<|im_end|>"
 _ESCAPED = re.compile(r"\\(.)", re.S)
@@ -97,16 +98,17 @@ class Windows:
 FORMATTED = "conv_id long, window int, text string, repeated_turns int, new_turns int, tokens int, mask array<struct<start:int,end:int>>"
 
 
-def format_chats(turns: DataFrame, budget: int = 512, history: int = 128, count=count_tokens) -> DataFrame:
+def format_chats(turns: DataFrame, budget: int = 2048, history: int = 512, tokenizer: str | None = None) -> DataFrame:
     """conv_id, turn, role, text to windows: conv_id, window, text, repeated_turns, new_turns, tokens, mask (spans of code points).
 
-    A partition's windows come in order, each conversation's together.
+    tokenizer: JSON file by which turns are counted; without it, count_tokens() does. A partition's windows come in order, each conversation's together.
     """
     small_batches(turns.sparkSession, 1000)
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
 
     def f(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = (lambda text: len(encoder(tokenizer)(text))) if tokenizer else count_tokens
         at, state = object(), None
         for d in it:
             out = []

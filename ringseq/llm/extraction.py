@@ -126,6 +126,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -50, 50))), pair
 
 
+@lru_cache(maxsize=4)
 def train(n: int = 500, seed: int = 5, steps: int = 200, l2: float = 0.003) -> Model:
     """Fit on n labelled pages."""
     labelled = [labels_of(tree(h)) for h in pages(n, seed)]
