@@ -62,7 +62,10 @@ def rename(path: str, to: str) -> None:
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(path)
-    store.move(inner, fs.FileSystem.from_uri(to)[1])
+    target = fs.FileSystem.from_uri(to)[1]
+    if store.get_file_info(target).type != fs.FileType.NotFound:  # of an attempt whose executor was lost
+        store.delete_file(target)
+    store.move(inner, target)
 
 
 def _clean(value: object) -> str:
