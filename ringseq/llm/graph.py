@@ -12,19 +12,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """Return (node, root): the smallest node reachable, for each node that has a link to another node.
 
     Every round replaces the links at a node by links to its smallest neighbour, so the number of links never grows.
-    Minima are aggregated before they are shuffled; a node with very many links is a skewed join key, which adaptive
-    execution splits. Self-links, repeated links and nulls are ignored; an empty table gives an empty result.
+    Minima are aggregated before they are shuffled, and written before they are joined back: then both sides of the join are
+    exchanges of their own, and adaptive execution can split a node with very many links. Self-links, repeated links and nulls are ignored; an empty table gives an empty result.
     """
     e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct()
     e = save(e, "links")
     before = None
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m0")).select("u", F.least("u", "m0").alias("m"))
+        low = save(both.groupBy("u").agg(F.min("v").alias("m0")).select("u", F.least("u", "m0").alias("m")), "minima")
         # large star: each larger neighbour is linked to the smallest
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
+        large = save(both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct(), "links")
         # small star: all not larger neighbours are linked to the smallest
-        down = large.groupBy(F.col("v").alias("w")).agg(F.min("u").alias("m"))
+        down = save(large.groupBy(F.col("v").alias("w")).agg(F.min("u").alias("m")), "minima")
         small = large.withColumnRenamed("v", "w").join(down, "w")
         e = save(
             small.select(F.col("m").alias("u"), F.col("u").alias("v")).where("u < v").union(down.select(F.col("m").alias("u"), F.col("w").alias("v"))).distinct(),

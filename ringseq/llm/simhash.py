@@ -227,7 +227,9 @@ def _labels(rows: DataFrame, radius: int, bands: int) -> DataFrame:
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(link_classes(prints, radius, bands))
     of = save(prints.join(found, prints["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "classes")
-    return of.join(of.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
+    # written, so that the join has exchanges of its own and a root of very many fingerprints can be split
+    low = save(of.groupBy("root").agg(F.min("first").alias("component_id")), "roots")
+    return of.join(low, "root").select("fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, radius: int = 4, bands: int = 6) -> DataFrame:
