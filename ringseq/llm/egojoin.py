@@ -151,7 +151,8 @@ def similar(vectors: DataFrame, t: float = 0.95, dims: int = 16, sample: int = 2
         comp = components(found.where("b is not null"))
         of = classes.join(more, "c", "left").join(comp, F.col("c") == comp["node"], "left").select("embedding", "n", "first", F.coalesce("more", F.lit(0)).alias("more"), F.coalesce("root", "c").alias("root"))
         of = save(of, "labels")
-        label = of.join(of.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("embedding", "n", "more", "component_id")
+        low = save(of.groupBy("root").agg(F.min("first").alias("component_id")), "roots")
+        label = of.join(low, "root").select("embedding", "n", "more", "component_id")
     linked = rows.where("fine").join(label, "embedding").select("vec_id", (F.col("more") + F.col("n") - 1).cast("long").alias("n_links"), "component_id")
     alone = rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
