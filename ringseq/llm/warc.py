@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_at_end, new_dir, small_batches
+from .common import drop_at_end, new_dir, save, small_batches
 
 #: Lines of a WARC 1.1 record (fixed values).
 VERSION = b"WARC/1.1\r\n"
@@ -38,12 +38,13 @@ def roles(pages: DataFrame, shared_from: int = 1000) -> DataFrame:
     """pages (page_id, uri, payload) with digest (SHA-1, hex), bytes, and refers_to: the largest page_id of equal payloads of at
     least shared_from bytes, null for that record itself and for all others.
 
-    Only digests that several records share are joined back; one digest of very many records is a skewed key, which
-    adaptive execution splits.
+    Only digests that several records share are joined back. They are written first, so that the join has exchanges of its
+    own and adaptive execution can split a digest of very many records.
     """
     rows = pages.select("page_id", "uri", F.coalesce("payload", F.lit(b"")).alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("digest"), F.length("payload").cast("long").alias("bytes"))
     shared = rows.where(F.col("bytes") >= shared_from).groupBy(F.col("digest").alias("d"), F.col("bytes").alias("b")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    shared = save(shared, "digests")
     joined = rows.join(shared, (rows["digest"] == shared["d"]) & (rows["bytes"] == shared["b"]), "left")
     return joined.select("page_id", "uri", "payload", "digest", "bytes", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
 
