@@ -71,8 +71,10 @@ def uniq_table(df: DataFrame) -> DataFrame:
     place = F.struct(*_order(df)).alias("place")
     keyed = df.select(_id(df).alias("own_id"), place, udfs.canonical(exprs.normalize_dna(F.col("seq"))).alias("form"))
     first = keyed.groupBy("form").agg(F.min_by(F.struct("own_id", "place"), "place").alias("kept"), F.count("*").alias("n")).where("n > 1")
-    # joined and not windowed: adaptive execution can split a form that very many records share
-    return keyed.join(first.withColumnRenamed("form", "of"), F.col("form").eqNullSafe(F.col("of"))).where(F.col("place") > F.col("kept.place")).select(F.col("kept.own_id").alias("id"), F.col("own_id").alias("duplicate_id"))
+    # joined and not windowed, over 16 parts of each form: a form that very many records share is not one task
+    first = first.select(F.col("form").alias("of"), "kept", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("part_of"))
+    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("place"), F.lit(16)).cast("int"))
+    return keyed.join(first, F.col("form").eqNullSafe(F.col("of")) & (F.col("part") == F.col("part_of"))).where(F.col("place") > F.col("kept.place")).select(F.col("kept.own_id").alias("id"), F.col("own_id").alias("duplicate_id"))
 
 
 def _ends(df: DataFrame, o: MonomerizeOptions) -> DataFrame:
