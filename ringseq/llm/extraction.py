@@ -111,7 +111,9 @@ class Model:
         for own in levels[:0:-1]:
             s = edge[own] + up[own][:, None, :]
             message[own] = np.logaddexp(s[:, :, 0], s[:, :, 1])
-            np.add.at(up, parent[own], message[own])
+            p = parent[own]  # ascending, as nodes are in page order
+            first = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
+            up[p[first]] += np.add.reduceat(message[own], first, axis=0)
         down, pair = np.zeros((n, 2)), np.zeros((n, 2, 2))
         for own in levels[1:]:
             p = parent[own]
@@ -127,7 +129,7 @@ class Model:
 
 
 @lru_cache(maxsize=4)
-def train(n: int = 500, seed: int = 5, steps: int = 200, l2: float = 0.003) -> Model:
+def train(n: int = 300, seed: int = 5, steps: int = 120, l2: float = 0.003) -> Model:
     """Fit on n labelled pages."""
     labelled = [labels_of(tree(h)) for h in pages(n, seed)]
     trees, y = [t for t, _ in labelled], np.array([v for _, own in labelled for v in own], float)
