@@ -50,6 +50,13 @@ def fasta_record(head: Column, seq: Column) -> Column:
     return F.concat(F.lit(">"), head, F.lit("\n"), seq)
 
 
+def orf_seq(seq: Column, start: Column, length: Column, include_stop: bool = True) -> Column:
+    """A reading frame's bases, read on around the circle; without the stop codon if so asked."""
+    size = length - (0 if include_stop else 3)
+    turns = F.ceil((start + size) / F.greatest(F.length(seq), F.lit(1))).cast("int")
+    return F.substring(F.repeat(seq, turns), start + 1, size)
+
+
 def least_rotation(seq: Column) -> Column:
     """Lexicographically least rotation, by trying all: memory grows with the square of the length, for short sequences."""
     n = F.length(seq)

@@ -22,6 +22,7 @@ SQL_FUNCTIONS = {
     "decat_seq": ("seq STRING", "substring(seq, 1, CAST(length(seq) / 2 AS INT))"),
     "rotate_bases": ("seq STRING, n BIGINT", "CASE WHEN length(seq) = 0 THEN seq ELSE substring(concat(seq, seq), CAST(pmod(-n, length(seq)) AS INT) + 1, length(seq)) END"),
     "rotate_percent": ("seq STRING, share DOUBLE", "CASE WHEN length(seq) = 0 THEN seq ELSE substring(concat(seq, seq), CAST(pmod(-floor(length(seq) * share), length(seq)) AS INT) + 1, length(seq)) END"),
+    "orf_seq": ("seq STRING, start INT, size INT", "substring(repeat(seq, CAST(ceil((start + size) / greatest(length(seq), 1)) AS INT)), start + 1, size)"),
     "fasta_id": ("head STRING", "substring_index(head, ' ', 1)"),
 }
 
@@ -33,7 +34,7 @@ def _monomer_end(seq: pd.Series, seed_length: pd.Series, max_mismatch: pd.Series
 
 
 def register(spark: SparkSession) -> None:
-    """normalize_dna, revcomp, cat_seq, decat_seq, rotate_bases, rotate_percent and fasta_id; lmsr, lmsr_index and canonicalize_dna;
+    """normalize_dna, revcomp, cat_seq, decat_seq, rotate_bases, rotate_percent, orf_seq(seq, start, length) and fasta_id; lmsr, lmsr_index and canonicalize_dna;
     monomer_end(seq, seed_length, max_mismatch); find_orfs(seq) and longest_orfs(seq), arrays of structs for inline()."""
     ship(spark)
     for name, (args, body) in SQL_FUNCTIONS.items():

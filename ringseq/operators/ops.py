@@ -150,9 +150,7 @@ def orfs(df: DataFrame, **options) -> DataFrame:
     o = OrfOptions(**options)
     found = _frames(df, o, True)
     source = F.when(F.col("strand") == "+", F.col("seq")).otherwise(F.col("norm"))
-    size = F.col("orf.length") - (0 if o.include_stop else 3)
-    turns = F.ceil((F.col("orf.start") + size) / F.greatest(F.length(source), F.lit(1))).cast("int")
-    return found.select(_named(found).alias("head"), F.substring(F.repeat(source, turns), F.col("orf.start") + 1, size).alias("seq"))
+    return found.select(_named(found).alias("head"), exprs.orf_seq(source, F.col("orf.start"), F.col("orf.length"), o.include_stop).alias("seq"))
 
 
 def orfs_table(df: DataFrame, **options) -> DataFrame:

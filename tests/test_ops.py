@@ -91,6 +91,7 @@ def test_sql_names(spark):
     row = spark.sql("SELECT revcomp('AACg') a, normalize_dna('ac gu~R') b, rotate_bases('ACGT', -1) c, rotate_percent('ACGT', 0.5D) d, cat_seq('AC') e, decat_seq('ACG') f, lmsr('TAA') g, lmsr_index('TAA') h, canonicalize_dna('ATT') i, monomer_end('ATGCATGC', 4, 0) j, fasta_id('a b') k").first()
     assert tuple(row) == ("cGTT", "ACGT-N", "CGTA", "GTAC", "ACAC", "A", "AAT", 1, "AAT", 4, "a")
     assert [tuple(r) for r in spark.sql("SELECT inline(find_orfs('GCATAAGCAATG'))").collect()] == [(9, 3, 1, 9)]
+    assert spark.sql("SELECT orf_seq('GCATAAGCAATG', 9, 9) s").first()["s"] == "ATGGCATAA"
 
 
 FASTA = b"\n>a first\r\nACG\r\nT\r\n\r\n>b\nAC\n\nGT\n>c\n>d e f\nTT"
