@@ -4,11 +4,13 @@ Sources share a total of words by weight; no source gets more than max_repeats t
 shared again by weight. A document is due its source's target over the source's words in copies: the whole part is
 allocated with certainty, the rest is its inclusion probability p, unequal between sources. Documents are ranked by
 Pareto's variable, the odds of a random number divided by the odds of p, and taken in that order until the words still
-due are met. So each source's sample has a fixed size, counted in words. Where the words are met, documents that no longer
-fit are passed over for the next of some 64 that do.
+due are met; one that no longer fits is passed over for the next that does, to the source's last. So each source's sample
+has a fixed size, counted in words: what it is short of is less than any document it leaves.
 
 Ranks are cut into cells (about 128 rows each, 65536 at most). Sums of the cells, aggregated before the shuffle, find the
-cell where the words are met; only that zone's rows are put in order, so no source is gathered in one task.
+cell where the words are met; only that zone's rows are put in order, so no source is gathered in one task. Where words are
+still due after a zone, the cells that follow are summed again without the documents that are longer than what is due, and
+the next zone is found in the same way, until no later document fits.
 
 Defined results: null texts have size 0 and are never taken; a null source is a source of its own, last in order; random
 numbers come from a hash of doc_id, size and text, so reruns agree and repeated rows are neighbours in rank; an empty
@@ -17,6 +19,8 @@ table gives an empty one.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,18 +51,64 @@ def _uniform(seed: int, *cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def _first_fit(zone: pd.DataFrame) -> pd.DataFrame:
-    """Take rows in order of rank while their words still fit."""
-    zone = zone.sort_values(["rank", "doc_id", "size"], kind="stable")
-    left, hit = float(zone["rest"].iloc[0]) - float(zone["before"].iloc[0]), []
+def _fits(zone: pd.DataFrame) -> list[bool]:
+    """Of rows in order of rank: taken while their words still fit in `left`."""
+    left, hit = float(zone["left"].iloc[0]), []
     for n in zone["size"].tolist():
         hit.append(n <= left)
         left -= n if hit[-1] else 0
-    return zone.assign(hit=hit)
+    return hit
+
+
+def _first_fit(zone: pd.DataFrame) -> pd.DataFrame:
+    zone = zone.sort_values(["rank", "doc_id", "size"], kind="stable")
+    return zone.assign(hit=_fits(zone))
+
+
+def _left(zone: pd.DataFrame) -> pd.DataFrame:
+    """Words still due after a zone."""
+    zone = zone.sort_values(["rank", "doc_id", "size"], kind="stable")
+    return zone[["source", "left"]].iloc[:1].assign(left=float(zone["left"].iloc[0]) - int(zone["size"][_fits(zone)].sum()))
+
+
+ZONE = "of string, begin int, fits double, edge int, last int, left double"
+
+
+def _zones(rows: DataFrame, due: dict, cells: int, more: int) -> list[tuple]:
+    """Where words are met: (source, first cell, words due there, edge, last cell, words due at the edge).
+
+    Documents that fit in the words due are taken up to the edge, without it; from the edge to the last cell, in order
+    while they fit. A source's zones follow one another. due: words by source; more: rows of a zone after the cell that begins it.
+    """
+    spark, out = rows.sparkSession, []
+    state = [(s, 0, left) for s, left in due.items() if left >= 1]
+    while state:
+        at = F.broadcast(spark.createDataFrame(state, "of string, begin int, fits double"))
+        fit = rows.join(at, rows["source"].eqNullSafe(at["of"])).where("cell >= begin and size > 0 and size <= fits")
+        sums = fit.groupBy("of", "begin", "fits", "cell").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        upto = Window.partitionBy("of").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = sums.select("*", (F.sum("words").over(upto) - F.col("words")).alias("before"), F.sum("n").over(upto).alias("upto"))
+        met = F.when(F.col("before") + F.col("words") > F.col("fits"), F.struct("cell", "before", "upto"))
+        sums = sums.select("*", F.min(met).over(Window.partitionBy("of")).alias("met"))
+        # begins with the cell where the words are met and ends with the cell that has the last of `more` rows after it
+        last = F.min(F.when(F.col("upto") >= F.col("met.upto") + more, F.col("cell")))
+        found = sums.groupBy("of", "begin", "fits").agg(F.min("met.cell").alias("edge"), F.coalesce(last, F.lit(cells)).alias("last"), (F.col("fits") - F.min("met.before")).alias("left"))
+        found = [tuple(r) for r in found.select(*(c.split()[0] for c in ZONE.split(", "))).collect()]  # a row for each source at most
+        out += found
+        state = [z for z in found if z[3] is not None and z[4] < cells]
+        if state:
+            at = F.broadcast(spark.createDataFrame(state, ZONE))
+            zone = rows.join(at, rows["source"].eqNullSafe(at["of"])).where("cell >= edge and cell <= last and size > 0 and size <= fits").select("source", "doc_id", "size", "rank", "left")
+            left = {r["source"]: r["left"] for r in zone.groupBy("source").applyInPandas(_left, "source string, left double").collect()}
+            state = [(z[0], z[4] + 1, left[z[0]]) for z in state if left[z[0]] >= 1]
+    return out
+
 
+def mix(docs: DataFrame, weights: list[float], max_repeats: float = 3.0, total: float | None = None, seed: int = 2, carry: list[str] | None = None, more: int = 64) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, copies, taken = copies x size; and the columns to carry.
 
-def mix(docs: DataFrame, weights: list[float], max_repeats: float = 3.0, total: float | None = None, seed: int = 2, carry: list[str] | None = None) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, copies, taken = copies x size; and the columns to carry."""
+    more: rows of a zone put in order after the cell where words are met; the result doesn't depend on it.
+    """
     carry = carry or []
     small_batches(docs.sparkSession, 1000)
     size = words(F.col("text"))
@@ -75,20 +125,14 @@ def mix(docs: DataFrame, weights: list[float], max_repeats: float = 3.0, total:
     # Pareto's variable; p is one for a source, so u puts its documents in the same order, and cells of u are even
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     rows = rows.withColumn("rank", F.when(F.col("p") > 0, odds))
-    rows = rows.withColumn("cell", F.floor(F.col("u") * cells).cast("int")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    sums = rows.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("rest").alias("rest"))
-    upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sums.select("source", "cell", "words", "rest", (F.sum("words").over(upto) - F.col("words")).alias("before"), F.sum("n").over(upto).alias("upto"))
-    # where the words due are met: a zone that begins with that cell and ends with the cell that has the 64th row after it
-    met = F.when(F.col("before") + F.col("words") > F.col("rest"), F.struct("cell", "before", "upto"))
-    sums = sums.select("source", "cell", "upto", F.min(met).over(Window.partitionBy("source")).alias("met"))
-    zone = sums.where("cell >= met.cell").groupBy(F.col("source").alias("of"), F.col("met.cell").alias("edge"), F.col("met.before").alias("before")).agg(
-        F.min(F.when(F.col("upto") >= F.col("met.upto") + 64, F.col("cell"))).alias("last")
-    )
-    rows = rows.join(F.broadcast(zone), rows["source"].eqNullSafe(zone["of"]), "left").drop("of")  # a row for each source at most
-    inside = F.coalesce((F.col("p") > 0) & (F.col("cell") >= F.col("edge")) & (F.col("cell") <= F.coalesce("last", F.lit(cells))), F.lit(False))
+    rows = rows.withColumn("cell", F.floor(F.col("u") * cells).cast("int"))
+    left = {s: due[s] - math.floor(due[s] / sizes[s]) * sizes[s] for s in sizes if sizes[s] and due[s] / sizes[s] % 1}
+    zones = F.broadcast(docs.sparkSession.createDataFrame(_zones(rows, left, cells, more), ZONE))
+    rows = rows.join(zones, rows["source"].eqNullSafe(zones["of"]) & (F.col("cell") >= F.col("begin")) & (F.col("cell") <= F.col("last")), "left").drop("of")  # one at most
+    # those that never fit stay out of the zone, and so do the columns they carry
+    inside = F.coalesce((F.col("cell") >= F.col("edge")) & (F.col("size") > 0) & (F.col("size") <= F.col("fits")), F.lit(False))
     edge = rows.where(inside).withColumn("hit", F.lit(False))
-    edge = edge.groupBy("source").applyInPandas(_first_fit, edge.schema)
-    rest = rows.where(~inside).withColumn("hit", (F.col("p") > 0) & F.coalesce(F.col("cell") < F.col("edge"), F.lit(True)))
+    edge = edge.groupBy("source", "begin").applyInPandas(_first_fit, edge.schema)
+    rest = rows.where(~inside).withColumn("hit", F.coalesce((F.col("size") <= F.col("fits")) & (F.col("size") > 0), F.lit(False)))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("hit").cast("long")).otherwise(0).cast("long")
     return edge.unionByName(rest).select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(F.col(f"carried_{c}").alias(c) for c in carry))

@@ -127,6 +127,23 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [(1, None, "a"), (2, "", None)]), [1.0]).agg(F.sum("taken")).first()[0] == 0
 
 
+@pytest.mark.parametrize("seed, more", [(2, 64), (3, 64), (4, 64), (5, 64), (6, 64), (7, 64), (4, 4096)])
+def test_mixing_passes_over_a_very_long_document(spark, seed, more):
+    sizes = [100_000 if i == 0 else 20 if i % 7 else 1 + i % 50 for i in range(10_000)]
+    d = spark.range(10_000).selectExpr("id as doc_id", "repeat('w ', if(id = 0, 100000, if(id % 7 > 0, 20, 1 + int(id % 50)))) as text", "'a' as source")
+    got = mixing.mix(d, [1.0], total=sum(sizes) / 2 + 0.5, seed=seed, more=more).collect()
+    assert sorted((r["doc_id"], r["size"]) for r in got) == list(enumerate(sizes))
+    left = got[0]["target"] - sum(r["taken"] for r in got)
+    assert 0 <= left < min([r["size"] for r in got if not r["copies"]])
+
+
+def test_mixing_does_not_depend_on_the_zones(spark):
+    rows = [(i, "w " * (20000 if i % 500 == 0 else 1 + i * 7 % 50), "xyz"[i % 3]) for i in range(6000)]
+    d = docs(spark, rows + [r for r in ODD if r[0] != 6] + [(i, "w " * 400, None) for i in range(7000, 7100)])
+    one, other = (sorted(map(str, mixing.mix(d, [5.0, 2.0, 1.0], more=m).collect())) for m in (1, 10**6))
+    assert one == other
+
+
 # sharding
 
 
