@@ -15,6 +15,7 @@ length are ranked by doc_id and start; an empty table gives an empty one. One wi
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -27,13 +28,32 @@ from pyspark.sql import functions as F
 from .common import save, small_batches
 
 _ENCODERS: dict = {}
+#: White space in a row beyond which a text is cut for the ranks' pattern, whose stack a million exhausts.
+LONG_BLANK = 100_000
+#: What the pattern takes for white space; Python's has four more.
+_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def parts(text: str) -> Iterator[tuple[str, bool]]:
+    """The text, cut at very long white space; and whether a part is such white space, which the pattern makes one piece.
+
+    The last blank before a word is not in that piece: the pattern leaves it to what follows.
+    """
+    done = 0
+    for m in _BLANK.finditer(text):
+        if m.end() - m.start() > LONG_BLANK:
+            end = m.end() - (m.end() < len(text))
+            yield text[done : m.start()], False
+            yield text[m.start() : end], True
+            done = end
+    yield text[done:], False
 
 
 def encoder(tokenizer: str):
     """A function from a text to its ids, for a tokenizer's JSON file; kept by path in each Python worker.
 
     Where the vocabulary also comes as ranks beside it (.tiktoken), those give the same ids sooner; texts that hold the
-    text of a special token go by the JSON file.
+    text of a special token go by the JSON file. Very much white space in a row is encoded apart from the ranks' pattern.
     """
     if tokenizer not in _ENCODERS:
         import os
@@ -52,8 +72,10 @@ def encoder(tokenizer: str):
             import tiktoken
 
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.read_bytes().splitlines())}
-            fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
-            found = lambda text: plain(text) if any(t in text for t in special) else fast(text)
+            fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+            one = lambda part, blank: fast._encode_single_piece(part) if blank else fast.encode_ordinary(part)
+            quick = lambda text: fast.encode_ordinary(text) if len(text) <= LONG_BLANK else [i for p in parts(text) for i in one(*p)]
+            found = lambda text: plain(text) if any(t in text for t in special) else quick(text)
         _ENCODERS[tokenizer] = found
     return _ENCODERS[tokenizer]
 

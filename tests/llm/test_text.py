@@ -303,6 +303,31 @@ def test_packing(spark):
     assert packing.pack(docs(spark, ODD).where("false"), TOKENIZER).count() == 0
 
 
+@pytest.mark.parametrize("blank", [" " * 1_000_001, "\r\n" * 500_001, "\u00a0\u3000" * 500_001, " " * 100_001, " " * 100_000])
+def test_ids_of_very_long_blanks(blank):
+    from tokenizers import Tokenizer
+
+    text = f"a {blank}b\n"
+    assert list(packing.encoder(TOKENIZER)(text)) == Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
+
+
+@given(st.lists(st.text(" \n\r\t\x1c\x85\u00a0\u3000\u200b", min_size=1, max_size=9) | st.text("ab1.'s é", max_size=4), max_size=12).map("".join))
+def test_ids_of_cut_blanks(text):
+    from unittest import mock
+
+    encode = packing.encoder(TOKENIZER)
+    with mock.patch.object(packing, "LONG_BLANK", 3):
+        assert "".join(p for p, _ in packing.parts(text)) == text
+        cut = list(encode(text))
+    assert cut == list(encode(text))
+
+
+def test_packing_of_very_long_blanks(spark):
+    d = spark.sql("select 1L as doc_id, repeat(' ', 1000001) as text, 'a' as source union all select 2L, 'short', 'a'")
+    got = packing.pack(d, TOKENIZER).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in got}[1] == 1_000_002 == sum(r["length"] for r in got if r["doc_id"] == 1)
+
+
 @pytest.mark.parametrize("ids", [[], [1, 50256], [1, 70000]])
 def test_packed_ids(ids):
     assert packing.unpacked(packing.packed(np.array(ids, np.uint32))).tolist() == ids
