@@ -125,22 +125,22 @@ def parse(data: bytes | None) -> Stream:
     at, end = 0, len(data)
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
         at = _id3(data, at, out.tags)
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        out.tags.setdefault("TIT2", data[end + 3 : end + 33].decode("latin-1").rstrip("\0 "))
+    # where an ID3v1 tag may begin: it is none where it lies in a frame that ends with the stream or that another follows
+    v1 = end - 128 if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" else end
     word = lambda i: int.from_bytes(data[i : i + 4], "big") if i + 4 <= end else -1
     kind, good = None, False
-    while at + 4 <= end:
+    while at + 4 <= end and at != v1:
         h = header(word(at))
         ok = h is not None and at + h.length <= end and (kind is None or h.same == kind)
-        if ok and not good:  # out of step: the next header has to follow too
+        if ok and (not good or at < v1 < at + h.length < end):  # out of step, or over what may be a tag: the next header has to follow too
             after = at + h.length
-            ok = after == end or (n := header(word(after))) is not None and n.same == h.same
+            ok = after in (v1, end) or (n := header(word(after))) is not None and n.same == h.same
         if not ok:
             out.resyncs += good
             good = False
-            n = data.find(b"\xff", at + 1, end)
-            n = end if n < 0 else n
+            stop = v1 if at < v1 else end
+            n = data.find(b"\xff", at + 1, stop)
+            n = stop if n < 0 else n
             out.skipped += n - at
             at = n
             continue
@@ -168,6 +168,9 @@ def parse(data: bytes | None) -> Stream:
         out.samples += h.samples
         out.rate = h.rate
         at += h.length
+    if at == v1 < end:
+        end = v1
+        out.tags.setdefault("TIT2", data[v1 + 3 : v1 + 33].decode("latin-1").rstrip("\0 "))
     out.skipped += end - at
     return out
 

@@ -67,6 +67,19 @@ def test_carried_bytes(payload):
     assert x.table_bytes == len(data) - x.offsets[0] + 192
 
 
+@pytest.mark.parametrize("units", range(1, 10))
+def test_payload_that_looks_like_an_id3v1_tag(units):
+    n = units * media.UNIT
+    for at in range(max(0, n - 800), n - 2):
+        payload = (b"ACGT" * n)[:at] + b"TAG" + (b"GATTACA" * n)[: n - at - 3]
+        data = media.carry(payload, n)
+        for extra in (b"", b"TAG" + b"name".ljust(125, b"\0")):
+            x = media.parse(data + extra)
+            assert media.carried(data, x) == payload and x.failed == x.skipped == 0 and ("TIT2" in x.tags) == bool(extra)
+    lost = media.parse(data[:-50] + extra)  # the last frame is cut, a tag follows
+    assert lost.tags["TIT2"] == "name" and lost.skipped == 3 * media.RATE_OF_UNITS[units % 4 or 4] - 50
+
+
 def test_damage_and_resynchronization():
     data = media.carry(media.padded(b"q" * 9000), 9000)
     x = media.parse(data)
