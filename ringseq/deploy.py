@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -27,9 +27,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI: spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    """The folder that driver and executors share, as a URI: spark.checkpoint.dir.
+
+    Where it is unset, one of our own if all runs in this process, as in tests; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="ringseq-")
         spark.conf.set("spark.checkpoint.dir", base)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
@@ -42,7 +48,29 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ringseq-{name}-{uuid.uuid4().hex}"
 
 
+def _at(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop_at_end(spark: SparkSession, path: str) -> None:
     """What is there goes when the application ends."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    p, store = _at(spark, path)
+    store.deleteOnExit(p)
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder and read it from there. Lost executors cost no recomputation of what came before."""
+    path = new_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    drop_at_end(df.sparkSession, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def drop(*saved: DataFrame) -> None:
+    """Tables made by save() that nothing reads any more go now."""
+    for df in saved:
+        p, store = _at(df.sparkSession, df.saved_at)
+        store.delete(p, True)
