@@ -8,8 +8,11 @@ piece is cut to fill the window. The plan is in intervals of ranks within a leng
 a piece finds its place from its length and its rank, which is numbered within cells of a length, salted so that a length
 that very many documents share is many cells.
 
-Defined results: null and empty texts are the end id alone; repeated rows are packed as often as they come; ties of equal
-length are ranked by doc_id and start; an empty table gives an empty one. One window at most is left unfilled.
+Ranks are numbered over rows without ids; only pieces that the plan cuts are joined with their ids again.
+
+Defined results: null and empty texts are the end id alone; null ids are kept as they are, and whole numbers of 64 bits
+beside them; repeated rows are packed as often as they come; ties of equal length are ranked by a hash of doc_id, start and
+ids, and within its cells by doc_id and start; an empty table gives an empty one. One window at most is left unfilled.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, small_batches
+from .common import bounded, copy_numbers, save, ship, slices, with_numbers
 
 _ENCODERS: dict = {}
 #: White space in a row beyond which a text is cut for the ranks' pattern, whose stack a million exhausts.
@@ -86,22 +89,23 @@ def crc(ids: np.ndarray) -> int:
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -> DataFrame:
     """Whole windows and a rest of each document: doc_id, start, length, doc_tokens, crc, ids (little-endian 32 bit, packed to 16 where they fit)."""
-    small_batches(docs.sparkSession, 128)
+    ship(docs.sparkSession)
 
-    def f(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for d in it:
-            rows = []
-            for doc, text in zip(d["doc_id"].tolist(), d["text"].tolist()):
-                ids = np.array([*encode(text or ""), end_id], np.uint32)
-                for i in range(0, len(ids), window):
-                    part = ids[i : i + window]
-                    rows.append((doc, i, len(part), len(ids), crc(part), packed(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "crc", "ids"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+        for batch in batches:
+            for part in slices(batch, 1):
+                of, rows = [], []
+                for k, text in enumerate(part.column(1).to_pylist()):
+                    ids = np.array([*encode(text or ""), end_id], np.uint32)
+                    for i in range(0, len(ids), window):
+                        own = ids[i : i + window]
+                        of.append(k)
+                        rows.append((i, len(own), len(ids), crc(own), packed(own)))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), *columns], ["doc_id", "start", "length", "doc_tokens", "crc", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(f, "doc_id long, start long, length int, doc_tokens long, crc long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(f, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length int, doc_tokens long, crc long, ids binary")
 
 
 def packed(ids: np.ndarray) -> bytes:
@@ -216,7 +220,9 @@ def plan(counts: np.ndarray, window: int = 2048) -> tuple[dict[int, np.ndarray],
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, an array, if kept)."""
     spark = docs.sparkSession
-    rows = save(pieces(docs, tokenizer, window, end_id), "pieces")
+    found = pieces(docs, tokenizer, window, end_id)
+    stored = save(found.select("*", F.xxhash64("doc_id", "start", "crc").alias("k"), F.monotonically_increasing_id().alias("rid"), F.spark_partition_id().alias("pid")), "pieces")
+    rows = stored.drop("ids")
     by_length = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     counts = np.zeros(window + 1, np.int64)
     for n, k in by_length.items():
@@ -224,35 +230,50 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, k
     # cells: of 512 rows, or a 20000th of all; there are at most window + 20000 of them
     full = max(512, int(counts.sum()) // 20000)
     salts = spark.createDataFrame([(n, -(-k // full)) for n, k in sorted(by_length.items())], "length int, salts long")
-    rows = rows.join(F.broadcast(salts), "length").withColumn("cell", F.pmod(F.xxhash64("doc_id", "start", "crc"), "salts")).drop("salts")
+    rows = with_numbers(rows, copy_numbers(rows)).join(F.broadcast(salts), "length").withColumn("cell", F.pmod(F.xxhash64("k", "no"), "salts"))
+    rows = save(rows.drop("salts", "pid", "k"), "cells")
     first, at = [], dict.fromkeys(by_length, 0)
     for r in sorted(rows.groupBy("length", "cell").agg(F.count("*").alias("n")).collect()):
         first.append((r["length"], r["cell"], at[r["length"]]))
         at[r["length"]] += r["n"]
     first = spark.createDataFrame(first, "length int, cell long, first long")
-    number = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "start", "crc")) - 1
+    number = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "start", "crc", "no")) - 1
     rows = rows.withColumn("i", number).join(F.broadcast(first), ["length", "cell"])
-    rows = rows.select("doc_id", "start", "length", "doc_tokens", "crc", "ids", (F.col("first") + F.col("i")).alias("rank"))
+    rows = rows.select("doc_id", "start", "length", "doc_tokens", "crc", "rid", (F.col("first") + F.col("i")).alias("rank"))
     places = spark.sparkContext.broadcast(plan(counts, window)[0])
-
-    def f(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in it:
-            out = []
-            for length, own in d.groupby("length", sort=False):
-                p, rank = places.value[int(length)], own["rank"].to_numpy()
-                i, j = np.nonzero((rank[:, None] >= p[None, :, 0]) & (rank[:, None] < p[None, :, 1]))
-                got = own.iloc[i].copy()
-                got["from"], got["tokens"], got["sequence_id"], got["offset"] = p[j, 2], p[j, 3], p[j, 4] + rank[i] - p[j, 0], p[j, 5]
-                out.append(got)
-            if not out:
-                continue
-            got = pd.concat(out)
-            cut = (got["tokens"] < got["length"]).to_numpy()
-            ids = [unpacked(x)[a : a + n] if c or keep_ids else None for x, a, n, c in zip(got["ids"], got["from"], got["tokens"], cut)]
-            sums = [crc(x) if c else old for x, c, old in zip(ids, cut, got["crc"])]
-            done = pd.DataFrame({"doc_id": got["doc_id"].astype("Int64"), "start": got["start"] + got["from"], "length": got["tokens"], "ids_crc32": sums, "doc_tokens": got["doc_tokens"], "sequence_id": got["sequence_id"], "offset": got["offset"]})
-            if keep_ids:
-                done["ids"] = [x.astype(np.int32) for x in ids]
-            yield done
-
-    return rows.mapInPandas(f, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * keep_ids)
+    names = ["doc_id", "start", "length", "crc", "doc_tokens", "sequence_id", "offset", "rid", "from", "cut"]
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length, rank = np.asarray(b.column(2)), np.asarray(b.column(6))
+            for n in np.unique(length).tolist():
+                own, p = np.flatnonzero(length == n), places.value[n]
+                i, j = np.nonzero((rank[own][:, None] >= p[None, :, 0]) & (rank[own][:, None] < p[None, :, 1]))
+                k, p = own[i], p[j]
+                got = b.take(pa.array(k))
+                columns = [np.asarray(got.column(1)) + p[:, 2], p[:, 3], got.column(4), got.column(3), p[:, 4] + rank[k] - p[:, 0], p[:, 5], got.column(5), p[:, 2], p[:, 3] < n]
+                yield pa.RecordBatch.from_arrays([got.column(0), *map(pa.array, columns)], names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    placed = rows.mapInArrow(f, f"doc_id {kind}, start long, length long, crc long, doc_tokens long, sequence_id long, offset long, rid long, from long, cut boolean")
+    placed = save(placed, "placed")
+    cut = placed if keep_ids else placed.where("cut")
+    cut = stored.select("rid", "ids").join(bounded(cut, cut.count()), "rid").withColumn("of", _part("ids", "from", "length"))
+    columns = ["doc_id", "start", "length", F.col("of.crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"]
+    if keep_ids:
+        return cut.select(*columns, F.col("of.ids").alias("ids"))
+    whole = placed.where("not cut").select("doc_id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return whole.unionByName(cut.select(*columns))
+
+
+def _part(ids: str, start: str, length: str) -> Column:
+    """Of packed ids: a part's checksum and ids."""
+
+    @F.arrow_udf("crc long, ids array<int>")
+    def f(ids: pa.Array, start: pa.Array, length: pa.Array) -> pa.Array:
+        own = [unpacked(x)[a : a + n].astype(np.int32) for x, a, n in zip(ids.to_pylist(), start.to_pylist(), length.to_pylist())]
+        ends = np.cumsum([0, *map(len, own)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own or [np.empty(0, np.int32)])))
+        return pa.StructArray.from_arrays([pa.array([crc(x) for x in own], pa.int64()), lists], ["crc", "ids"])
+
+    return f(ids, start, length)
