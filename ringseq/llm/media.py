@@ -1,13 +1,15 @@
 """MPEG audio columns: streams are parsed to exact durations and frame offsets; bytes can be carried in silent streams.
 
-parse() skips ID3 tags, finds frame headers and falls back into step after damage (a header counts where the next one
-follows at its frame's end, or the stream ends there), reads Xing, Info and VBRI tables, verifies the checksums of
-Layer III frames, and gives samples, rate and the byte offset of every frame. carry() makes a Layer III stream, mono,
-48 kHz, of silent frames that hold 192, 384, 576 or 768 bytes each as ancillary data, with an ID3v2 tag, a Xing table and
-a checksum in each frame; carried() reads them back.
+parse() reads ID3 tags (v1; v2.2 to v2.4 with extended headers and unsynchronization), finds frame headers and falls back into
+step after damage (a header counts where the next one follows at its frame's end, or the stream ends there), reads Xing, Info
+and VBRI tables with their seek points and the encoder's delay and padding, verifies the checksums of Layers I, II and III, and
+gives samples, rate and the byte offset of every frame. carry() makes a Layer III stream, mono, 48 kHz, of silent frames that
+hold 192, 384, 576 or 768 bytes each as ancillary data, with an ID3v2 tag, a Xing table and a checksum in each frame;
+carried() reads them back.
 
 Defined results: null and empty payloads carry as one unit of padding; null media parse to no frames; bytes that are not
-MPEG audio parse to no frames, with all bytes skipped; equal payloads give equal streams.
+MPEG audio parse to no frames, with all bytes skipped; equal payloads give equal streams; compressed or encrypted tag frames
+are left out.
 """
 
 from __future__ import annotations
@@ -17,11 +19,9 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import mapped
 
 # Fixed values of the MPEG audio header: kbit/s by (MPEG 1, layer), Hz by version bits, samples of a frame.
 KBPS = {
@@ -33,6 +33,8 @@ KBPS = {
     (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 HZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+#: Layer II: bits of an allocation by subband, runs of (subbands, bits): high and low rates of MPEG 1, few channels' bits, MPEG 2.
+ALLOCATION = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "lsf": ((4, 4), (7, 3), (19, 2))}
 SAMPLES = {(True, 1): 384, (True, 2): 1152, (True, 3): 1152, (False, 1): 384, (False, 2): 1152, (False, 3): 576}
 
 #: Bytes of a unit of payload, and kbit/s of the frame that holds so many units.
@@ -53,6 +55,7 @@ class Header:
     mono: bool
     checked: bool
     same: int
+    joint: int
 
 
 _HEADERS: dict[int, Header | None] = {}
@@ -68,7 +71,7 @@ def header(word: int) -> Header | None:
             mpeg1 = version == 3
             kbps, hz, samples, pad = KBPS[mpeg1, layer][rate_i], HZ[version][hz_i], SAMPLES[mpeg1, layer], word >> 9 & 1
             length = (12 * kbps * 1000 // hz + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hz + pad
-            _HEADERS[word] = Header(length, samples, hz, kbps, layer, mpeg1, word >> 6 & 3 == 3, not word >> 16 & 1, word & 0xFFFE0C00)
+            _HEADERS[word] = Header(length, samples, hz, kbps, layer, mpeg1, word >> 6 & 3 == 3, not word >> 16 & 1, word & 0xFFFE0C00, 4 * ((word >> 4 & 3) + 1) if word >> 6 & 3 == 1 else 32)
     return _HEADERS[word]
 
 
@@ -85,6 +88,41 @@ def crc16(data: bytes) -> int:
     return _SUMS[data]
 
 
+def checked_bits(h: Header, data: bytes) -> int:
+    """How many bits after the checksum it covers; data: the frame from there on."""
+    if h.layer == 3:
+        return 8 * (32 if h.mpeg1 and not h.mono else SIDE if h.mpeg1 or not h.mono else 9)
+    channels, joint = 1 if h.mono else 2, 32 if h.mono else h.joint
+    if h.layer == 1:
+        return 4 * (32 if h.mono else 32 + joint)
+    each = h.kbps // channels
+    if not h.mpeg1:
+        table = "lsf"
+    elif 56 <= each and (h.rate == 48000 or each <= 80):
+        table = "a"
+    elif each >= 96:
+        table = "b"
+    else:
+        table = "c" if h.rate != 32000 else "d"
+    word, size = int.from_bytes(data[:40], "big") << 8 * max(0, 40 - len(data)), 320
+    used = at = band = 0
+    for n, bits in ALLOCATION[table]:
+        for _ in range(n):
+            for _ in range(channels if band < joint else 1):
+                some = word >> size - at - bits & (1 << bits) - 1
+                used += (some > 0) * (1 if band < joint else channels)
+                at += bits
+            band += 1
+    return at + 2 * used  # and the choice of scale factors, for each band and channel that has samples
+
+
+def crc16_of_bits(data: bytes, bits: int) -> int:
+    c = 0xFFFF
+    for i in range(bits):
+        c = (c << 1 ^ (0x8005 if (c >> 15) ^ (data[i >> 3] >> 7 - (i & 7) & 1) else 0)) & 0xFFFF
+    return c
+
+
 @dataclass
 class Stream:
     samples: int = 0
@@ -95,6 +133,9 @@ class Stream:
     table: str = ""
     table_frames: int = -1
     table_bytes: int = -1
+    seek: list[int] = field(default_factory=list)
+    delay: int = 0
+    padding: int = 0
     checked: int = 0
     failed: int = 0
     resyncs: int = 0
@@ -105,19 +146,63 @@ def _size7(b: bytes) -> int:
     return (b[0] & 127) << 21 | (b[1] & 127) << 14 | (b[2] & 127) << 7 | b[3] & 127
 
 
+def _plain(data: bytes) -> bytes:
+    """Without unsynchronization."""
+    return data.replace(b"\xff\0", b"\xff")
+
+
 def _id3(data: bytes, at: int, tags: dict[str, str]) -> int:
-    """End of the ID3v2 tag at `at`; its text frames go to tags."""
-    major, end = data[at + 3], at + 10 + _size7(data[at + 6 : at + 10])
-    i = at + 10
-    while major in (3, 4) and i + 10 <= min(end, len(data)) and data[i]:
-        n = _size7(data[i + 4 : i + 8]) if major == 4 else int.from_bytes(data[i + 4 : i + 8], "big")
-        name, body = data[i : i + 4].decode("latin-1"), data[i + 10 : i + 10 + n]
-        if name[0] == "T" and body:
-            text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1"), "replace")
-            key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
+    """End of the ID3v2 tag at `at`; its text frames go to tags, by the frame's name or a TXXX frame's description."""
+    major, flags, end = data[at + 3], data[at + 5], at + 10 + _size7(data[at + 6 : at + 10])
+    body = data[at + 10 : end]
+    whole, i = bool(flags & 128), 0
+    if whole and major < 4:
+        body = _plain(body)
+    if flags & 64 and major > 2 and len(body) >= 4:
+        i = _size7(body) if major == 4 else 4 + int.from_bytes(body[:4], "big")
+    wide, head = (4, 10) if major > 2 else (3, 6)
+    while 2 <= major <= 4 and not (major == 2 and flags & 64) and i + head <= len(body) and body[i]:
+        name, size = body[i : i + wide].decode("latin-1"), body[i + wide : i + 2 * wide]
+        n = _size7(size) if major == 4 else int.from_bytes(size, "big")
+        form, text = body[i + 9] if wide == 4 else 0, body[i + head : i + head + n]
+        i += head + n
+        if form & (0x0C if major == 4 else 0xC0):  # compressed or encrypted
+            continue
+        if major == 4:
+            text = text[(form >> 6 & 1) + 4 * (form & 1) :]  # a group's mark, the length before unsynchronization
+            text = _plain(text) if whole or form & 2 else text
+        elif major == 3:
+            text = text[form >> 5 & 1 :]
+        if name[0] == "T" and text:
+            said = text[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(text[0], "latin-1"), "replace")
+            key, _, value = said.partition("\0") if name in ("TXXX", "TXX") else (name, "", said)
             tags[key] = value.rstrip("\0")
-        i += 10 + n
-    return end + 10 * bool(data[at + 5] & 16)
+    return end + 10 * bool(flags & 16 and major == 4)
+
+
+def _table(data: bytes, x: int, at: int, out: Stream) -> None:
+    """A Xing or Info table at x, or a VBRI table of the frame at `at`."""
+    if data[x : x + 4] in (b"Xing", b"Info"):
+        flags, y = int.from_bytes(data[x + 4 : x + 8], "big"), x + 8
+        out.table = data[x : x + 4].decode()
+        if flags & 1:
+            out.table_frames, y = int.from_bytes(data[y : y + 4], "big"), y + 4
+        if flags & 2:
+            out.table_bytes, y = int.from_bytes(data[y : y + 4], "big"), y + 4
+        if flags & 4:
+            toc, y = data[y : y + 100], y + 100
+            out.seek = [at + b * max(0, out.table_bytes) // 256 for b in toc]  # of every hundredth of the duration
+        y += 4 * bool(flags & 8)
+        if data[y : y + 4] in (b"LAME", b"Lavc", b"Lavf") and len(data) >= y + 24:
+            trim = int.from_bytes(data[y + 21 : y + 24], "big")
+            out.delay, out.padding = trim >> 12, trim & 0xFFF
+    elif data[at + 36 : at + 40] == b"VBRI":
+        word = lambda i, n: int.from_bytes(data[at + i : at + i + n], "big")
+        out.table, out.delay, out.table_bytes, out.table_frames = "VBRI", word(42, 2), word(46, 4), word(50, 4)
+        entries, scale, size, place = word(54, 2), word(56, 2), word(58, 2), at
+        for i in range(entries if 1 <= size <= 4 and at + 62 + entries * size <= len(data) else 0):
+            place += word(62 + i * size, size) * scale
+            out.seek.append(place)
 
 
 def parse(data: bytes | None) -> Stream:
@@ -145,21 +230,15 @@ def parse(data: bytes | None) -> Stream:
             at = n
             continue
         first, good, kind = kind is None, True, h.same
-        side = 32 if h.mpeg1 and not h.mono else SIDE if h.mpeg1 or not h.mono else 9
-        if h.layer == 3 and h.checked:
-            out.checked += 1
-            out.failed += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+        if h.checked:
+            bits = checked_bits(h, data[at + 6 : at + 46])
+            covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + (bits + 7) // 8]
+            if len(covered) * 8 >= 16 + bits:
+                out.checked += 1
+                out.failed += (crc16(covered) if bits % 8 == 0 else crc16_of_bits(covered, 16 + bits)) != int.from_bytes(data[at + 4 : at + 6], "big")
         if first:
-            x = at + 4 + side + 2 * h.checked
-            if data[x : x + 4] in (b"Xing", b"Info"):
-                flags, y = int.from_bytes(data[x + 4 : x + 8], "big"), x + 8
-                out.table = data[x : x + 4].decode()
-                if flags & 1:
-                    out.table_frames, y = int.from_bytes(data[y : y + 4], "big"), y + 4
-                if flags & 2:
-                    out.table_bytes = int.from_bytes(data[y : y + 4], "big")
-            elif data[at + 36 : at + 40] == b"VBRI":
-                out.table, out.table_bytes, out.table_frames = "VBRI", int.from_bytes(data[at + 46 : at + 50], "big"), int.from_bytes(data[at + 50 : at + 54], "big")
+            if h.layer == 3:
+                _table(data, at + 4 + (32 if h.mpeg1 and not h.mono else SIDE if h.mpeg1 or not h.mono else 9) + 2 * h.checked, at, out)
             if out.table:
                 out.rate, at = h.rate, at + h.length
                 continue
@@ -214,49 +293,41 @@ def carried(data: bytes, stream: Stream) -> bytes:
     return b"".join([data[i + skip : i + skip + UNIT * UNITS_OF_RATE[r]] for i, r in zip(stream.offsets, stream.kbps)])
 
 
-def encoded(text: Column) -> Column:
-    """A text's UTF-8 as a stream."""
+def stored(docs: DataFrame, text: str = "text", to: str = "media") -> DataFrame:
+    """docs with the column `to` in place of a text: its UTF-8 as a stream."""
 
-    @F.pandas_udf("binary")
-    def f(s: pd.Series) -> pd.Series:
-        raw = [(x or "").encode("utf-8") for x in s]
-        return pd.Series([carry(padded(b), len(b)) for b in raw], dtype=object)
+    def f(texts: list[str | None]) -> list[bytes]:
+        raw = [(x or "").encode("utf-8") for x in texts]
+        return [carry(padded(b), len(b)) for b in raw]
 
-    return f(text)
+    return mapped(docs, text, to, "binary", f, keep=False)
 
 
 #: What parsed() gives.
-PARSED = "samples long, rate int, frames long, offsets array<long>, kbps array<int>, tags map<string,string>, table string, table_frames long, table_bytes long, checked long, failed long, resyncs long, skipped long"
+PARSED = "struct<samples:long,rate:int,frames:long,offsets:array<long>,kbps:array<int>,tags:map<string,string>,table:string,table_frames:long,table_bytes:long,seek:array<long>,delay:int,padding:int,checked:long,failed:long,resyncs:long,skipped:long>"
 
 
 def parsed(media: DataFrame, column: str = "media", to: str = "audio") -> DataFrame:
-    """media with a struct of exact samples and rate, every frame's byte offset and kbit/s, tags, the table's claims and what was damaged."""
-    small_batches(media.sparkSession)
+    """media with a struct of exact samples and rate, every frame's byte offset and kbit/s, tags, the table's claims and seek points,
+    the samples to leave out at both ends, and what was damaged."""
 
-    @F.pandas_udf(PARSED)
-    def f(s: pd.Series) -> pd.DataFrame:
-        found = [parse(x) for x in s]
-        names = [x.split()[0] for x in PARSED.split(", ")]
-        return pd.DataFrame([[x.samples, x.rate, len(x.offsets), x.offsets, x.kbps, x.tags, x.table, x.table_frames, x.table_bytes, x.checked, x.failed, x.resyncs, x.skipped] for x in found], columns=names)
+    def f(streams: list[bytes | None]) -> list[dict]:
+        return [vars(x) | {"frames": len(x.offsets), "tags": list(x.tags.items())} for x in map(parse, streams)]
 
-    return media.withColumn(to, f(F.col(column)))
+    return mapped(media, column, to, PARSED, f)
 
 
-DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "struct<n_bytes:long,payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string>"
 
 
-def digests(media: Column) -> Column:
-    """Of streams made by carry(): what is read back, as a struct."""
+def digests(media: DataFrame, column: str = "media", to: str = "digest") -> DataFrame:
+    """In place of streams made by carry(), a struct of what is read back."""
 
-    @F.pandas_udf(DIGEST)
-    def f(s: pd.Series) -> pd.DataFrame:
-        rows = []
-        for data in s:
-            x = parse(data)
-            payload = carried(data, x)
-            seek = zlib.crc32(np.array(x.offsets, "<i8").tobytes())
-            feature = f"rate={x.rate};samples={x.samples};frames={len(x.offsets)};kbps={sum(x.kbps) / max(1, len(x.kbps)):.3f};table={x.table}:{x.table_frames};checked={x.checked};failed={x.failed};resyncs={x.resyncs};seek={seek:08x}"
-            rows.append((int(x.tags["payload-bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in DIGEST.split(", ")])
+    def one(data: bytes) -> dict:
+        x = parse(data)
+        payload = carried(data, x)
+        seek = zlib.crc32(np.array(x.offsets, "<i8").tobytes())
+        feature = f"rate={x.rate};samples={x.samples};frames={len(x.offsets)};kbps={sum(x.kbps) / max(1, len(x.kbps)):.3f};table={x.table}:{x.table_frames};checked={x.checked};failed={x.failed};resyncs={x.resyncs};seek={seek:08x}"
+        return {"n_bytes": int(x.tags["payload-bytes"]), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "feature": feature}
 
-    return f(media)
+    return mapped(media, column, to, DIGEST, lambda streams: [one(x) for x in streams], keep=False)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, egojoin, extraction, media, mixing, packing, quality, sharding, simhash, warc
-from .common import save, small_batches, table
+from .common import save, table
 
 #: Weights of the sources of the mix, repeating over them in order.
 MIX_WEIGHTS = [5.0, 2.0, 1.0]
@@ -19,7 +19,6 @@ GOOD = 0.3
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    small_batches(spark)
     found = quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
@@ -51,9 +50,8 @@ def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    stored = save(table(spark, sf_dir, "documents").select("doc_id", media.encoded(F.col("text")).alias("media")), "media")
-    return stored.select("doc_id", media.digests(F.col("media")).alias("x")).select("doc_id", "x.*")
+    stored = save(media.stored(table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
+    return media.digests(stored).select("doc_id", "digest.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
