@@ -19,11 +19,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import ship, slices
 from .packing import encoder
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -95,76 +95,85 @@ class Windows:
         return row
 
 
-FORMATTED = "conv_id long, window int, text string, repeated_turns int, new_turns int, tokens int, mask array<struct<start:int,end:int>>"
+FORMATTED = "window int, text string, repeated_turns int, new_turns int, tokens int, mask array<struct<start:int,end:int>>"
+_WINDOW = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+#: Characters of windows in a batch that a task gives.
+_HELD = 4 << 20
 
 
 def format_chats(turns: DataFrame, budget: int = 2048, history: int = 512, tokenizer: str | None = None) -> DataFrame:
     """conv_id, turn, role, text to windows: conv_id, window, text, repeated_turns, new_turns, tokens, mask (spans of code points).
 
-    tokenizer: JSON file by which turns are counted; without it, count_tokens() does. A partition's windows come in order, each conversation's together.
+    tokenizer: JSON file by which turns are counted; without it, count_tokens() does. A partition's windows come in order, each
+    conversation's together. Identifiers stay in Arrow, exact beside nulls.
     """
-    small_batches(turns.sparkSession, 1000)
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
+    ship(turns.sparkSession)
+    rows = turns.select("conv_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("role"), "turn")
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text").drop("turn")
 
-    def f(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = (lambda text: len(encoder(tokenizer)(text))) if tokenizer else count_tokens
-        at, state = object(), None
-        for d in it:
-            out = []
-            for conv, role, text in zip(d["conv_id"].astype("Int64").tolist(), d["role"].tolist(), d["text"].tolist()):
-                conv = None if conv is pd.NA else conv
-                if conv != at or state is None:
-                    if state is not None:
-                        out.append((at, *state.close()))
-                    at, state = conv, Windows(budget, history, count)
-                out += [(conv, *w) for w in state.add(role, text)]
-            yield _frame(out)
+        at, state, out, held, kind = object(), None, [], 0, None
+        for b in batches:
+            kind = b.schema.field(0).type
+            for part in slices(b, 1):
+                for conv, text, role in zip(*(c.to_pylist() for c in part.columns)):
+                    new = []
+                    if conv != at or state is None:
+                        if state is not None:
+                            new.append((at, *state.close()))
+                        at, state = conv, Windows(budget, history, count)
+                    new += [(conv, *w) for w in state.add(role, text)]
+                    out += new
+                    held += sum(len(w[2]) for w in new)
+                    if held > _HELD:
+                        yield _batch(out, kind)
+                        out, held = [], 0
         if state is not None:
-            yield _frame([(at, *state.close())])
+            yield _batch([*out, (at, *state.close())], kind)
 
-    return rows.mapInPandas(f, FORMATTED)
+    return rows.mapInArrow(f, f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, {FORMATTED}")
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    d = pd.DataFrame(rows, columns=["conv_id", "window", "text", "repeated_turns", "new_turns", "tokens", "mask"])
-    d["conv_id"] = d["conv_id"].astype("Int64")
-    return d
+def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * 7
+    columns[6] = [[{"start": a, "end": b} for a, b in spans] for spans in columns[6]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [kind, *_WINDOW])], ["conv_id", "window", "text", "repeated_turns", "new_turns", "tokens", "mask"])
 
 
-READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+READ = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+_READ = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
 
 def read_back(formatted: DataFrame, in_order: bool = False) -> DataFrame:
     """Digests of each conversation, from its windows alone. in_order: they come straight from format_chats()."""
     if not in_order:
         formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "window")
-    columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    rows = formatted.select("conv_id", "text", "window", "repeated_turns", "mask")
 
-    def f(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, None
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, kind = None, None, None
         done = lambda: (at, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
-        for d in it:
-            out = []
-            for conv, window, text, repeated, mask in zip(d["conv_id"].astype("Int64").tolist(), d["window"].tolist(), d["text"].tolist(), d["repeated_turns"].tolist(), d["mask"].tolist()):
-                if window == 0:
-                    if state is not None:
-                        out.append(done())
-                    at, state = None if conv is pd.NA else conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, body in _TURN.findall(text)[repeated:]:
-                    state[0] += 1
-                    state[1].update(f"{unescape(role)}\n{unescape(body)}\n".encode())
-                for s in mask:
-                    loss = unescape(text[s["start"] : s["end"]])
-                    state[2] += len(loss)
-                    state[3].update(loss.encode())
-                state[4] += len(text)
-            got = pd.DataFrame(out, columns=columns)
-            got["conv_id"] = got["conv_id"].astype("Int64")
-            yield got
+        names = ["conv_id", *(c.split()[0] for c in READ.split(", "))]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, [kind, *_READ])], names)
+        for b in batches:
+            kind, out = b.schema.field(0).type, []
+            for part in slices(b, 1):
+                for conv, text, window, repeated, mask in zip(*(c.to_pylist() for c in part.columns)):
+                    if window == 0:
+                        if state is not None:
+                            out.append(done())
+                        at, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    for role, body in _TURN.findall(text)[repeated:]:
+                        state[0] += 1
+                        state[1].update(f"{unescape(role)}\n{unescape(body)}\n".encode())
+                    for s in mask:
+                        loss = unescape(text[s["start"] : s["end"]])
+                        state[2] += len(loss)
+                        state[3].update(loss.encode())
+                    state[4] += len(text)
+            yield batch(out)
         if state is not None:
-            got = pd.DataFrame([done()], columns=columns)
-            got["conv_id"] = got["conv_id"].astype("Int64")
-            yield got
+            yield batch([done()])
 
-    return formatted.mapInPandas(f, READ)
+    return rows.mapInArrow(f, f"conv_id {formatted.schema['conv_id'].dataType.simpleString()}, {READ}")
