@@ -7,11 +7,12 @@ their mean, weighted by the lines' lengths, is mapped to a score by a logistic c
 Labels mark documents, not lines, so training alternates: lines of good documents are good; in bad documents the field
 itself, from one round to the next, decides which lines are good (at least the worst line stays bad). The field and the
 curve are fitted on a bounded sample of labelled rows: `sample` documents by hash of their id, of up to `max_lines` lines
-each. Scoring reads every whole text.
+each and `total_lines` in all. Scoring reads every whole text.
 
 Defined results: null and empty texts are one empty line, whose weight counts as one character; a table without labels, or
 with labels of one kind only, gives a field of zero weights and that kind's share (or 0.5) as every score; repeated label
-rows count as their mean; null labels are left out.
+rows count as their mean, and documents that repeat a labelled id as one, the least text; null labels are left out; a null id is
+not held out, and not learnt from.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, small_batches
+from .common import crc32_of_id, ship, slices
 
 _SYMBOL = re.compile(r"[^\w\s.,;:'\"()?-]")
 _DIGIT = re.compile(r"\d")
@@ -57,16 +58,26 @@ def line_features(line: str) -> tuple[float, ...]:
     )
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """[lines, WIDTH] with the neighbours' features, and the lines' lengths."""
+def own_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """[lines, OWN], and the lines' lengths."""
     lines = (text or "").split("\n")
-    own = np.array([line_features(x) for x in lines])
-    out = np.zeros((len(lines), WIDTH))
+    return np.array([line_features(x) for x in lines]), np.array([len(x) or 1e-9 for x in lines]) if len(lines) > 1 or lines[0] else np.ones(1)
+
+
+def with_neighbours(own: np.ndarray) -> np.ndarray:
+    """[lines, WIDTH]: a line's features, those of the lines before and after it, and marks of the first and last line."""
+    out = np.zeros((len(own), WIDTH))
     out[:, :OWN] = own
     out[1:, OWN : 2 * OWN] = own[:-1]
     out[:-1, 2 * OWN : 3 * OWN] = own[1:]
     out[0, -3], out[-1, -2], out[:, -1] = 1, 1, 1
-    return out, np.array([len(x) or 1e-9 for x in lines]) if len(lines) > 1 or lines[0] else np.ones(1)
+    return out
+
+
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """[lines, WIDTH] with the neighbours' features, and the lines' lengths."""
+    own, lengths = own_features(text)
+    return with_neighbours(own), lengths
 
 
 @dataclass
@@ -181,28 +192,42 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 3, steps:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(crc32_of_id(doc_id), F.lit(5)) == 0
+    """By the id's checksum; false for a null id."""
+    return F.coalesce(F.pmod(crc32_of_id(doc_id), F.lit(5)) == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 2500, max_lines: int = 2000) -> Field:
-    """Fit on labelled rows that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 2500, max_lines: int = 2000, total_lines: int = 200_000) -> Field:
+    """Fit on labelled rows that aren't held out: `sample` documents of at most `max_lines` lines, and `total_lines` in all.
+
+    What comes to the driver is 48 bytes for each of those lines.
+    """
     spark = docs.sparkSession
+    ship(spark)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     # as many of each label at most, so a rare label is seen; bounded: `sample` rows of ids
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for y in (0, 1)]
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    picked = spark.createDataFrame([tuple(r) for p in picked for r in p.collect()], known.schema)
-    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(lines <= max_lines)
-
-    def f(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in it:
-            x = [features(t) for t in d["text"]]
-            yield pd.DataFrame({"doc_id": d["doc_id"], "y": d["y"], "x": [a.astype(np.float32).tobytes() for a, _ in x], "n": [b.astype(np.float32).tobytes() for _, b in x]})
-
-    got = sorted(rows.mapInPandas(f, "doc_id long, y int, x binary, n binary").collect())
-    data = [(np.frombuffer(r["x"], np.float32).astype(float).reshape(-1, WIDTH), np.frombuffer(r["n"], np.float32).astype(float), r["y"]) for r in got]
+    picked = [tuple(r) for p in picked for r in p.collect()]
+    at = spark.createDataFrame([(i, y, k) for k, (i, y) in enumerate(picked)], known.withColumn("place", F.lit(0)).schema)
+    # one row an id, however often it comes: the least text, by a partial aggregate
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(at), "doc_id").groupBy("place", "y").agg(F.min("text").alias("text"))
+    rows = rows.withColumn("n", F.size(F.split("text", "\n"))).where(F.col("n") <= max_lines)
+    took, use = {0: 0, 1: 0}, []
+    for r in sorted(rows.select("place", "y", "n").collect()):
+        if took[r["y"]] + r["n"] <= total_lines // 2:
+            took[r["y"]] += r["n"]
+            use.append((r["place"],))
+    rows = rows.join(F.broadcast(spark.createDataFrame(use, "place int")), "place")
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                x = [own_features(t) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([a.astype(np.float32).tobytes() for a, _ in x]), pa.array([b.astype(np.float32).tobytes() for _, b in x])], ["place", "y", "x", "n"])
+
+    got = sorted(rows.select("place", "y", "text").mapInArrow(f, "place int, y int, x binary, n binary").collect())
+    data = [(with_neighbours(np.frombuffer(r["x"], np.float32).astype(float).reshape(-1, OWN)), np.frombuffer(r["n"], np.float32).astype(float), r["y"]) for r in got]
     field = fit(data)
     if len(counts) == 2 and data:  # the sample's shares of the labels are not the table's
         took = [sum(y == k for _, _, y in data) for k in (0, 1)]
@@ -213,10 +238,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2500, max_lines: int
 
 def scored(docs: DataFrame, field: Field, text: str = "text", to: str = "score") -> DataFrame:
     """docs with the column `to`."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
-    @F.pandas_udf("double")
-    def f(s: pd.Series) -> pd.Series:
-        return pd.Series([field.score(x) for x in s], dtype=float)
+    @F.arrow_udf("double")
+    def f(s: pa.Array) -> pa.Array:
+        return pa.array([field.score(x.as_py()) for x in s], pa.float64())
 
     return docs.withColumn(to, f(F.col(text)))
