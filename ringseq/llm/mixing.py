@@ -1,31 +1,37 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Sources share a total of words by weight; no source gets more than max_repeats times its own words, and what is above is
-shared again by weight. A document is due its source's target over the source's words in copies: the whole part is
-allocated with certainty, the rest is its inclusion probability p, unequal between sources. Documents are ranked by
-Pareto's variable, the odds of a random number divided by the odds of p, and taken in that order until the words still
-due are met; one that no longer fits is passed over for the next that does, to the source's last. So each source's sample
-has a fixed size, counted in words: what it is short of is less than any document it leaves.
-
-Ranks are cut into cells (about 128 rows each, 65536 at most). Sums of the cells, aggregated before the shuffle, find the
-cell where the words are met; only that zone's rows are put in order, so no source is gathered in one task. Where words are
-still due after a zone, the cells that follow are summed again without the documents that are longer than what is due, and
-the next zone is found in the same way, until no later document fits.
-
-Defined results: null texts have size 0 and are never taken; a null source is a source of its own, last in order; random
-numbers come from a hash of doc_id, size and text, so reruns agree and repeated rows are neighbours in rank; an empty
-table gives an empty one.
+shared again by weight. Within a source, a document is due copies in proportion to 2 ** (tilt x class), where its class is the
+whole part of log2 of its words, and max_repeats at most: so longer documents come somewhat more often, and the words that
+are due add up to the target. The whole part of a document's copies is allocated with certainty; the rest is its inclusion
+probability p, unequal within a source. Documents are ranked by Pareto's variable, the odds of a random number divided by
+the odds of p, and taken in that order until the words still due are met; one that no longer fits is passed over for the next
+that does, to the source's last. So each source's sample has a fixed size, counted in words: what it is short of is less
+than any document it leaves.
+
+A rank becomes a place, a whole number below 2 ** 48 that grows with it. Sums over equal cells of places, aggregated before
+the shuffle, find the cell where a source's words are met; a cell of too many rows is cut again, until few rows (`zone` and
+what shares their cells) have to be put in order. Then the places that follow are summed without the documents that are
+longer than what is due, and so on until no later document fits. Only row numbers, words and ranks are shuffled, never texts.
+
+Defined results: null texts have size 0 and are never taken; a null source is a source of its own, last in order; null ids
+are ids like any other; random numbers come from a hash of doc_id, size and text, so reruns agree; rows that come very often
+are numbered, each with a random number of its own, rarer repeated rows share one; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, small_batches, words
+from .common import bounded, copy_numbers, save, ship, with_numbers, words
+
+#: Places of ranks: whole numbers below this.
+PLACES = 1 << 48
 
 
 def targets(sizes: dict, weights: list[float], total: float | None = None, max_repeats: float = 3.0) -> dict:
@@ -46,93 +52,119 @@ def targets(sizes: dict, weights: list[float], total: float | None = None, max_r
     return due
 
 
+def copies_due(classes: dict[int, int], due: float, max_repeats: float, tilt: float) -> dict[int, float]:
+    """Copies due to a document of each class, in proportion to 2 ** (tilt x class), max_repeats at most. classes: words by class."""
+    out: dict[int, float] = {}
+    left = due
+    for c in sorted(classes, reverse=True):  # the class whose copies come to the limit first
+        by = sum(2.0 ** (tilt * k) * classes[k] for k in classes if k not in out)
+        if left * 2.0 ** (tilt * c) / by < max_repeats:
+            return out | {k: max(0.0, left * 2.0 ** (tilt * k) / by) for k in classes if k not in out}
+        out[c] = max_repeats
+        left -= max_repeats * classes[c]
+    return out
+
+
 def _uniform(seed: int, *cols: Column) -> Column:
     """In (0, 1), from a hash."""
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def _fits(zone: pd.DataFrame) -> list[bool]:
-    """Of rows in order of rank: taken while their words still fit in `left`."""
+def _fits(zone: pd.DataFrame) -> pd.DataFrame:
+    """Of rows in order of rank: those taken, as their words still fit in `left`."""
+    zone = zone.sort_values(["rank", "k", "no", "size"], kind="stable")
     left, hit = float(zone["left"].iloc[0]), []
     for n in zone["size"].tolist():
         hit.append(n <= left)
         left -= n if hit[-1] else 0
-    return hit
-
-
-def _first_fit(zone: pd.DataFrame) -> pd.DataFrame:
-    zone = zone.sort_values(["rank", "doc_id", "size"], kind="stable")
-    return zone.assign(hit=_fits(zone))
-
-
-def _left(zone: pd.DataFrame) -> pd.DataFrame:
-    """Words still due after a zone."""
-    zone = zone.sort_values(["rank", "doc_id", "size"], kind="stable")
-    return zone[["source", "left"]].iloc[:1].assign(left=float(zone["left"].iloc[0]) - int(zone["size"][_fits(zone)].sum()))
-
+    return zone.loc[hit, ["rid", "of", "size"]]
 
-ZONE = "of string, begin int, fits double, edge int, last int, left double"
 
-
-def _zones(rows: DataFrame, due: dict, cells: int, more: int) -> list[tuple]:
-    """Where words are met: (source, first cell, words due there, edge, last cell, words due at the edge).
-
-    Documents that fit in the words due are taken up to the edge, without it; from the edge to the last cell, in order
-    while they fit. A source's zones follow one another. due: words by source; more: rows of a zone after the cell that begins it.
-    """
-    spark, out = rows.sparkSession, []
-    state = [(s, 0, left) for s, left in due.items() if left >= 1]
+def ranked(docs: DataFrame, weights: list[float], max_repeats: float = 3.0, total: float | None = None, seed: int = 2, carry: list[str] | None = None, tilt: float = 0.125) -> tuple[DataFrame, dict]:
+    """Rows with doc_id, source, size, source_size, target, whole, p, rank (null if p is 0), place; and the words each source's sample is due."""
+    spark = docs.sparkSession
+    ship(spark)
+    size = words(F.col("text"))
+    own = [F.col(f"`{c}`").alias(f"carried_{c}") for c in carry or []]
+    rows = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", size, "text").alias("k"), F.monotonically_increasing_id().alias("rid"), F.spark_partition_id().alias("pid"), *own)
+    rows = save(rows, "sizes")
+    rows = with_numbers(rows, copy_numbers(rows)).withColumn("class", F.length(F.bin("size")) - 1)
+    # a row for each source and class of size: a mix names its sources, and there are 63 classes at most
+    sums: dict = {}
+    for r in rows.groupBy("source", "class").agg(F.sum("size").alias("size"), F.count("*").alias("n")).toLocalIterator():
+        sums.setdefault(r["source"], {})[r["class"]] = (int(r["size"]), r["n"])
+    sizes = {s: sum(n for n, _ in by.values()) for s, by in sums.items()}
+    due, plan, sampled = targets(sizes, weights, total, max_repeats), [], {}
+    for s, by in sums.items():
+        e = copies_due({c: n for c, (n, _) in by.items() if n}, due[s], max_repeats, tilt)
+        part = {c: x - math.floor(x) for c, x in e.items()}
+        sampled[s] = sum(part[c] * by[c][0] for c in e)
+        mean = sum(part[c] * by[c][1] for c in e) / max(1, sum(by[c][1] for c in e if part[c]))
+        plan += [(s, c, sizes[s], float(due[s]), math.floor(e.get(c, 0.0)), part.get(c, 0.0), mean / (1 - mean) if 0 < mean < 1 else 1.0) for c in by]
+    at = spark.createDataFrame(plan, "of string, of_class int, source_size long, target double, whole long, p double, middle double")
+    rows = rows.join(bounded(at, len(plan)), F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("of_class"))).drop("of", "of_class")
+    u = _uniform(seed, F.col("k"), F.col("no"))
+    rows = rows.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))))
+    # about even over a source's documents: a rank at the odds of its mean probability is half way
+    x = F.col("rank") * F.col("middle")
+    rows = rows.withColumn("place", F.least(F.lit(PLACES - 1), F.floor(x / (1 + x) * PLACES)).cast("long"))
+    return rows, sampled
+
+
+def _select(rows: DataFrame, due: dict, grid: int, zone: int) -> tuple[DataFrame, int, DataFrame, int]:
+    """Which rows a sample takes: spans (of, first place, end, fits), in which all documents that fit are taken, and row numbers besides."""
+    spark = rows.sparkSession
+    slim = rows.select("source", "size", "rank", "place", "rid", "k", "no").where("rank is not null")
+    spans, hits = [], []
+    state = [(s, 0, PLACES, float(left)) for s, left in due.items() if left >= 1]
     while state:
-        at = F.broadcast(spark.createDataFrame(state, "of string, begin int, fits double"))
-        fit = rows.join(at, rows["source"].eqNullSafe(at["of"])).where("cell >= begin and size > 0 and size <= fits")
-        sums = fit.groupBy("of", "begin", "fits", "cell").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        at = bounded(spark.createDataFrame(state, "of string, lo long, hi long, fits double"), len(state))
+        fit = slim.join(at, F.col("source").eqNullSafe(F.col("of"))).where("place >= lo and place < hi and size <= fits")
+        sums = fit.groupBy("of", "lo", "hi", "fits", F.expr(f"(place - lo) div ceil((hi - lo) / {grid})").alias("cell")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         upto = Window.partitionBy("of").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        sums = sums.select("*", (F.sum("words").over(upto) - F.col("words")).alias("before"), F.sum("n").over(upto).alias("upto"))
-        met = F.when(F.col("before") + F.col("words") > F.col("fits"), F.struct("cell", "before", "upto"))
+        sums = sums.select("*", (F.sum("words").over(upto) - F.col("words")).alias("before"), (F.sum("n").over(upto) - F.col("n")).alias("n_before"))
+        met = F.when(F.col("before") + F.col("words") > F.col("fits"), F.struct("cell", "before", "n_before", "n"))
         sums = sums.select("*", F.min(met).over(Window.partitionBy("of")).alias("met"))
-        # begins with the cell where the words are met and ends with the cell that has the last of `more` rows after it
-        last = F.min(F.when(F.col("upto") >= F.col("met.upto") + more, F.col("cell")))
-        found = sums.groupBy("of", "begin", "fits").agg(F.min("met.cell").alias("edge"), F.coalesce(last, F.lit(cells)).alias("last"), (F.col("fits") - F.min("met.before")).alias("left"))
-        found = [tuple(r) for r in found.select(*(c.split()[0] for c in ZONE.split(", "))).collect()]  # a row for each source at most
-        out += found
-        state = [z for z in found if z[3] is not None and z[4] < cells]
-        if state:
-            at = F.broadcast(spark.createDataFrame(state, ZONE))
-            zone = rows.join(at, rows["source"].eqNullSafe(at["of"])).where("cell >= edge and cell <= last and size > 0 and size <= fits").select("source", "doc_id", "size", "rank", "left")
-            left = {r["source"]: r["left"] for r in zone.groupBy("source").applyInPandas(_left, "source string, left double").collect()}
-            state = [(z[0], z[4] + 1, left[z[0]]) for z in state if left[z[0]] >= 1]
-    return out
-
-
-def mix(docs: DataFrame, weights: list[float], max_repeats: float = 3.0, total: float | None = None, seed: int = 2, carry: list[str] | None = None, more: int = 64) -> DataFrame:
+        # the zone: the cell where the words are met, and those after it while they have few rows
+        last = F.max(F.when(F.col("n_before") + F.col("n") <= F.col("met.n_before") + zone, F.col("cell")))
+        found = sums.groupBy("of", "lo", "hi", "fits").agg(F.min("met").alias("met"), last.alias("last"), F.sum("words").alias("words")).collect()  # a row for each source at most
+        state, zones = [], []
+        for r in found:
+            of, lo, hi, fits, m = r["of"], r["lo"], r["hi"], r["fits"], r["met"]
+            if m is None:  # all that fit are taken
+                spans.append((of, lo, hi, fits))
+                if hi < PLACES and fits - r["words"] >= 1:
+                    state.append((of, hi, PLACES, fits - r["words"]))
+                continue
+            width, left = -(-(hi - lo) // grid), fits - m["before"]
+            edge = lo + m["cell"] * width
+            spans.append((of, lo, edge, fits))
+            if m["n"] > zone and width > 1:
+                state.append((of, edge, min(hi, edge + width), left))
+            else:
+                zones.append((of, edge, min(hi, lo + (max(m["cell"], r["last"] or 0) + 1) * width), left))
+        if zones:
+            at = bounded(spark.createDataFrame(zones, "of string, lo long, hi long, left double"), len(zones))
+            inside = slim.join(at, F.col("source").eqNullSafe(F.col("of"))).where("place >= lo and place < hi and size <= left")
+            got = inside.select("of", "lo", "left", "rid", "rank", "k", "no", "size").groupBy("of", "lo").applyInPandas(_fits, "rid long, of string, size long")
+            hits.append(save(got, "hits"))
+            took = {r["of"]: r["size"] for r in hits[-1].groupBy("of").agg(F.sum("size").alias("size")).collect()}
+            state += [(of, hi, PLACES, left - took.get(of, 0)) for of, _, hi, left in zones if hi < PLACES and left - took.get(of, 0) >= 1]
+    every = reduce(DataFrame.unionByName, hits).select("rid") if hits else spark.createDataFrame([], "rid long")
+    return spark.createDataFrame(spans, "of string, lo long, hi long, fits double"), len(spans), every, every.count()
+
+
+def mix(docs: DataFrame, weights: list[float], max_repeats: float = 3.0, total: float | None = None, seed: int = 2, carry: list[str] | None = None, tilt: float = 0.125, grid: int = 65536, zone: int = 4096) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, copies, taken = copies x size; and the columns to carry.
 
-    more: rows of a zone put in order after the cell where words are met; the result doesn't depend on it.
+    grid, zone: cells summed at once and rows put in order at once; the result doesn't depend on them.
     """
-    carry = carry or []
-    small_batches(docs.sparkSession, 1000)
-    size = words(F.col("text"))
-    rows = save(docs.select("doc_id", "source", size.alias("size"), _uniform(seed, F.col("doc_id"), size, F.col("text")).alias("u"), *(F.col(c).alias(f"carried_{c}") for c in carry)), "sizes")
-    # one row for each source: a mix names its sources, so there are few
-    found = list(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).toLocalIterator())
-    sizes = {r["source"]: int(r["size"]) for r in found}
-    cells = min(65536, max(64, max([0, *(r["n"] for r in found)]) // 128))
-    due = targets(sizes, weights, total, max_repeats)
-    plan = [(s, sizes[s], float(due[s]), due[s] / sizes[s] if sizes[s] else 0.0) for s in sizes]
-    plan = docs.sparkSession.createDataFrame(plan, "source string, source_size long, target double, rate double").withColumnRenamed("source", "of")
-    rows = rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["of"])).drop("of")
-    rows = rows.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.floor("rate"))
-    # Pareto's variable; p is one for a source, so u puts its documents in the same order, and cells of u are even
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    rows = rows.withColumn("rank", F.when(F.col("p") > 0, odds))
-    rows = rows.withColumn("cell", F.floor(F.col("u") * cells).cast("int"))
-    left = {s: due[s] - math.floor(due[s] / sizes[s]) * sizes[s] for s in sizes if sizes[s] and due[s] / sizes[s] % 1}
-    zones = F.broadcast(docs.sparkSession.createDataFrame(_zones(rows, left, cells, more), ZONE))
-    rows = rows.join(zones, rows["source"].eqNullSafe(zones["of"]) & (F.col("cell") >= F.col("begin")) & (F.col("cell") <= F.col("last")), "left").drop("of")  # one at most
-    # those that never fit stay out of the zone, and so do the columns they carry
-    inside = F.coalesce((F.col("cell") >= F.col("edge")) & (F.col("size") > 0) & (F.col("size") <= F.col("fits")), F.lit(False))
-    edge = rows.where(inside).withColumn("hit", F.lit(False))
-    edge = edge.groupBy("source", "begin").applyInPandas(_first_fit, edge.schema)
-    rest = rows.where(~inside).withColumn("hit", F.coalesce((F.col("size") <= F.col("fits")) & (F.col("size") > 0), F.lit(False)))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("hit").cast("long")).otherwise(0).cast("long")
-    return edge.unionByName(rest).select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(F.col(f"carried_{c}").alias(c) for c in carry))
+    rows, due = ranked(docs, weights, max_repeats, total, seed, carry, tilt)
+    spans, n_spans, hits, n_hits = _select(rows, due, grid, zone)
+    # one span at most holds a row
+    inside = F.col("source").eqNullSafe(F.col("of")) & (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi")) & (F.col("size") <= F.col("fits"))
+    rows = rows.join(bounded(spans, n_spans), inside, "left").withColumn("within", F.col("lo").isNotNull()).drop("of", "lo", "hi", "fits")
+    rows = rows.join(bounded(hits.withColumn("hit", F.lit(True)), n_hits), "rid", "left")
+    sampled = (F.col("within") | F.coalesce("hit", F.lit(False))).cast("long")
+    copies = F.when(F.col("size") > 0, F.col("whole") + sampled).otherwise(0).cast("long")
+    return rows.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(F.col(f"`carried_{c}`").alias(c) for c in carry or []))
