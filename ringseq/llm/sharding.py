@@ -4,26 +4,32 @@ Groups (equal texts) are put into shards so that bytes, tokens and rows are bala
 three, each as a share of the whole; items are placed largest first, each into the shard where the dot product with the
 residual capacity is highest among those with room for it, or else among all.
 
-Billions of groups cannot be placed one by one, so small groups travel in `buckets` buckets by a hash of the text, and only a
-group of over 1 / (shards x heavy) of the bytes or rows is an item of its own; of these there are fewer than
-2 x shards x heavy, whatever the input. A group larger than that share (a quarter of a shard) is split over pieces by a
-hash of doc_id: a shard's even share may be smaller than a group that holds a third of all rows. Every other group stays
-whole in one shard. Slots are numbered within buckets and within parts of pieces, from offsets that come with the plan.
+A group that is more than 1 / (shards x fine) of the bytes or rows is an item of its own; of these there are fewer than
+2 x shards x fine, whatever the input. Billions of smaller groups cannot be placed one by one: they are sorted into classes
+of like vectors (bytes and tokens of the text, to a power of two), and an item is a slice of a class, by a hash of the text,
+of a 16384th of the whole at most, hash's unevenness aside. Only a group larger than a whole shard's share is split, over
+pieces of a quarter of that share: no shard could hold it evenly. Every other group stays whole in one shard. Slots are
+numbered within slices and within parts of large groups, from offsets that come with the plan.
 
-Defined results: null texts count as empty (they are one group); repeated rows get slots of their own; with fewer items
-than shards some shards are empty; an empty table gives an empty one.
+Defined results: null texts count as empty (they are one group); null and repeated ids are rows like any other, and a large
+group is split evenly whatever its ids; repeated rows get slots of their own; with fewer items than shards some shards are
+empty; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, words
+from .common import bounded, save, words
 
 #: Bytes that every row costs besides its text.
 ROW_BYTES = 8
+#: Parts of the whole that a slice holds one of.
+SLICES = 16384
 
 
 def place(items: np.ndarray, shards: int, weights: tuple[float, ...] = (1.0, 1.0, 1.0)) -> np.ndarray:
@@ -41,24 +47,31 @@ def place(items: np.ndarray, shards: int, weights: tuple[float, ...] = (1.0, 1.0
     return out
 
 
-def shard(docs: DataFrame, shards: int = 24, buckets: int = 8192, heavy: int = 4, parts: int = 64) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, fine: int = 512) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard)."""
     spark = docs.sparkSession
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    rows = docs.select("doc_id", (F.length(data) + ROW_BYTES).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), words(F.col("text")).alias("tokens"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    rows = docs.select("doc_id", (F.length(data) + ROW_BYTES).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), words(F.col("text")).alias("tokens"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("rid"))
     rows = save(rows, "rows")
-    total = rows.agg(F.sum("size").alias("size"), F.count("*").alias("n")).first()
-    share = lambda x: max(1, (x or 0) // (shards * heavy))
-    big = rows.groupBy(F.col("h").alias("big")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).where((F.col("size") > share(total["size"])) & (F.col("n") > 1) | (F.col("n") > share(total["n"])) & (F.col("n") > 1))
-    # fewer than 2 x shards x heavy rows: each has more than that part of the bytes or the rows
-    big = big.select("big", F.ceil(F.greatest(F.col("size") / share(total["size"]), F.col("n") / share(total["n"]))).cast("long").alias("pieces"))
-    rows = rows.join(F.broadcast(big), rows["h"] == big["big"], "left")
-    salt = F.xxhash64("doc_id")
-    piece = F.concat_ws("/", F.lit("g"), "big", F.pmod(salt, F.col("pieces")), F.pmod(F.shiftright(salt, 20), F.lit(parts)))
-    rows = rows.withColumn("cell", F.when(F.col("big").isNull(), F.concat(F.lit("b/"), F.pmod("h", F.lit(buckets)))).otherwise(piece))
-    # at most `buckets` cells of small groups and `parts` of each piece: bounded, whatever the input
+    log2 = lambda c: F.length(F.bin(c))
+    rows = rows.withColumn("class", F.concat_ws("/", F.lit("c"), log2("size"), log2("tokens")))
+    # a row for each pair of powers of two: some hundreds
+    classes = rows.groupBy("class").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()
+    total = {c: max(1, sum(r[c] for r in classes)) for c in ("size", "tokens", "n")}
+    own = rows.groupBy(F.col("h").alias("big")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    share = F.greatest(F.col("size") / total["size"], F.col("n") / total["n"]) * shards
+    pieces = F.when(share > 1, F.ceil(share * 4)).otherwise(1).cast("long")
+    parts = F.ceil(F.col("n") / pieces * SLICES / max(SLICES * 512, total["n"])).cast("long")
+    # fewer than 2 x shards x fine rows: each has more than that part of the bytes or the rows
+    big = save(own.where(share > 1 / fine).select("big", pieces.alias("pieces"), parts.alias("parts")), "large")
+    cut = [(r["class"], max(1, math.ceil(SLICES * max(r[c] / total[c] for c in total)))) for r in classes]
+    rows = rows.join(bounded(big, 2 * shards * fine), rows["h"] == big["big"], "left").join(F.broadcast(spark.createDataFrame(cut, "class string, slices long")), "class")
+    salt = F.xxhash64("rid")  # not of the id: ids may be null or repeated
+    piece = F.concat_ws("/", F.lit("g"), "big", F.pmod(salt, F.col("pieces")), F.pmod(F.shiftrightunsigned(salt, 20), F.col("parts")))
+    rows = rows.withColumn("cell", F.when(F.col("big").isNull(), F.concat_ws("/", "class", F.pmod("h", "slices"))).otherwise(piece))
+    # some 100,000 cells at most, whatever the input: slices, large groups, their pieces and parts
     found = sorted(rows.groupBy("cell").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect())
-    item = [r["cell"] if r["cell"][0] == "b" else r["cell"].rpartition("/")[0] for r in found]
+    item = [r["cell"] if r["cell"][0] == "c" else r["cell"].rpartition("/")[0] for r in found]
     names = sorted(set(item))
     index = {x: i for i, x in enumerate(names)}
     vectors = np.zeros((len(names), 3))
@@ -70,6 +83,6 @@ def shard(docs: DataFrame, shards: int = 24, buckets: int = 8192, heavy: int = 4
         at.append((r["cell"], k, start[k]))
         start[k] += r["n"]
     at = spark.createDataFrame(at, "cell string, shard int, start long")
-    slot = F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "h")) - 1
+    slot = F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "h", "rid")) - 1
     numbered = rows.select("doc_id", "size", "text_crc32", "cell", slot.cast("long").alias("i"))
-    return numbered.join(F.broadcast(at), "cell").select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("i")).alias("slot"))
+    return numbered.join(bounded(at, len(found)), "cell").select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("i")).alias("slot"))
