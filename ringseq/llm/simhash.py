@@ -8,7 +8,8 @@ word j of plane p has bit p of 64 fingerprints. One step adds a plane, XORed wit
 all distances at once (carry-save), and a block is abandoned once all its counters have passed the radius.
 
 Defined results: null and empty texts have no word and fingerprint zero, which is linked like any other; texts of fewer
-words than a shingle are one shingle; repeated rows and ties are in one component; an empty table gives an empty one.
+words than a shingle are one shingle; null ids come last, so a component has one only if all its ids are null; repeated rows and
+ties are in one component; columns of any type are kept; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,13 +18,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small_batches
+from .common import bounded, row_hash, save, ship
 from .graph import components
 
 #: Fixed values of the fingerprint: seed of XXH64, bits.
@@ -55,9 +55,9 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 def fingerprints(text: Column, shingle: int = 4) -> Column:
     """The fingerprint as a signed 64-bit column."""
 
-    @F.pandas_udf("long")
-    def f(s: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(x, shingle) for x in s], np.uint64).view(np.int64))
+    @F.arrow_udf("long")
+    def f(s: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(x.as_py(), shingle) for x in s], np.uint64).view(np.int64))
 
     return f(text)
 
@@ -205,19 +205,66 @@ def _links_of_sorted(batches: Iterator[pa.RecordBatch], radius: int, block_rows:
         yield from solved(np.concatenate(keys), np.concatenate(fps))
 
 
-def link_classes(prints: DataFrame, radius: int = 4, bands: int = 6) -> DataFrame:
-    """prints: distinct column fp. Returns links (a, b) that connect just what the links within the radius connect."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of 64-bit words."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # fixed values of the SplitMix64 finalizer
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _bands_of(used: int, bands: int, radius: int) -> list[int]:
+    """Masks of every choice of bands - radius of the bands that the bits not in `used` are cut into."""
+    free = [b for b in range(BITS) if not used >> b & 1]
+    cut = [sum(1 << b for b in free[len(free) * i // bands : len(free) * (i + 1) // bands]) for i in range(bands)]
+    return sorted({sum(t) for t in combinations(cut, bands - radius)})
+
+
+def _split(batches: Iterator[pa.RecordBatch], radius: int, bands: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, used): each becomes one for every choice of bands of the bits that its key has not used."""
+    for b in batches:
+        key, fp, used = (c.to_numpy().view(np.uint64) for c in b.columns)
+        for u in np.unique(used).tolist():
+            own = used == u
+            for i, mask in enumerate(_bands_of(u, bands, radius)):
+                deeper = _mixed(_mixed(key[own] + np.uint64(i + 1)) ^ (fp[own] & np.uint64(mask)))
+                columns = (deeper, fp[own], np.full(len(deeper), u | mask, np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], ["key", "fp", "used"])
+
+
+def link_classes(prints: DataFrame, radius: int = 4, bands: int = 6, split_at: int = 1 << 17) -> DataFrame:
+    """prints: distinct column fp. Returns links (a, b) that connect just what the links within the radius connect.
+
+    A key of more than split_at fingerprints is split again by bands of the bits that it leaves, with no link lost, three
+    times at most: then 45 bits are used, and a key can't have more fingerprints than the other bits have values.
+    """
+    chosen = band_tables(bands, radius)
     key = lambda t, cut: F.lit(t).cast("long") * (1 << 48) + sum(
         (F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1)) * F.lit(1 << sum(x[1] for x in cut[:i])) for i, (a, w) in enumerate(cut)), F.lit(0)
     )
-    tables = F.array(*(key(t, cut).cast("long") for t, cut in enumerate(band_tables(bands, radius))))
-    rows = prints.select(F.explode(tables).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    tables = F.array(*(key(t, cut).cast("long") for t, cut in enumerate(chosen)))
+    rows = prints.select(F.explode(tables).alias("key"), "fp")
+    masks = np.array([sum(((1 << w) - 1) << a for a, w in cut) for cut in chosen], np.uint64).view(np.int64).tolist()
+    used = F.element_at(F.array(*map(F.lit, masks)), (F.shiftright("key", 48) + 1).cast("int")).cast("long")
+    done = None
+    for _ in range(3):
+        large = save(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > split_at).select("key"), "large")
+        n = large.count()
+        if not n:
+            break
+        ship(prints.sparkSession)
+        small = rows.join(bounded(large, n), "key", "left_anti").select("key", "fp")
+        done = small if done is None else done.unionByName(small)
+        deeper = rows.join(bounded(large, n), "key", "left_semi").select("key", "fp", used.alias("used"))
+        rows = save(deeper.mapInArrow(lambda it: _split(it, radius, bands), "key long, fp long, used long"), "deeper")
+        used = F.col("used")
+    rows = rows.select("key", "fp") if done is None else done.unionByName(rows.select("key", "fp"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "fp")
     return rows.mapInArrow(lambda it: _links_of_sorted(it, radius), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, radius: int = 4, bands: int = 6) -> DataFrame:
     """One row per row of docs: doc_id, fp (signed), root (of its component: a fingerprint), component_id (its smallest doc_id)."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     rows = save(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), shingle).alias("fp")), "prints")
     return rows.join(_labels(rows, radius, bands), "fp").select("doc_id", "fp", "root", "component_id")
 
@@ -233,14 +280,16 @@ def _labels(rows: DataFrame, radius: int, bands: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, radius: int = 4, bands: int = 6) -> DataFrame:
-    """The rows of docs of which no other row of the component comes first by (doc_id, hash of the row); one row of each component."""
-    small_batches(docs.sparkSession)
+    """The rows of docs of which no other row of the component comes first by (doc_id, null last, hash of the row); one row of each component.
+
+    Rows that go are found on row numbers, and left out of the rows by them; equal rows of equal place are interchangeable.
+    """
+    ship(docs.sparkSession)
     names = docs.columns
-    packed = docs.select(F.struct(*names).alias("doc"), fingerprints(F.col(text), shingle).alias("fp"))
-    packed = save(packed.withColumn("rank", F.struct(F.col(f"doc.`{doc_id}`").isNull().alias("none"), F.col(f"doc.`{doc_id}`").alias("doc_id"), F.xxhash64("doc").alias("h"))), "printed")
-    rows = packed.select(F.col("rank.doc_id").alias("doc_id"), "fp")
-    label = _labels(rows, radius, bands).select("fp", "root")
-    best = packed.select("fp", "rank").groupBy("fp").agg(F.min("rank").alias("rank")).join(label, "fp").groupBy("root").agg(F.min(F.struct("rank", "fp")).alias("best"))
-    best = best.select(F.col("best.fp").alias("fp"), F.col("best.rank").alias("rank"))
-    # repeated rows with equal rank are equal in every column: one of them is taken
-    return packed.join(best, ["fp", "rank"], "left_semi").dropDuplicates(["fp", "rank"]).select("doc.*")
+    packed = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("doc"), fingerprints(F.col(f"`{text}`"), shingle).alias("fp"), row_hash(docs, *names).alias("h"))
+    place = F.struct(F.col(f"doc.`{doc_id}`").isNull().alias("none"), F.col(f"doc.`{doc_id}`").alias("doc_id"), "h", "rid")
+    packed = save(packed.withColumn("rid", F.monotonically_increasing_id()).select("doc", "fp", "rid", place.alias("place")), "printed")
+    label = _labels(packed.select(F.col("place.doc_id").alias("doc_id"), "fp"), radius, bands).select("fp", "root")
+    first = packed.groupBy("fp").agg(F.min("place").alias("place")).join(label, "fp").groupBy("root").agg(F.min("place").alias("place"))
+    others = save(packed.select("rid").join(first.select("place.rid"), "rid", "left_anti"), "others")
+    return packed.join(bounded(others, others.count()), "rid", "left_anti").select("doc.*")
