@@ -1,16 +1,18 @@
 """Web archives as a table of chunks.
 
-write() makes one archive file for each partition of its rows, record by record and slice by slice, each record a gzip
-member of its own as is usual for archives. read() gives one row
-for each chunk of a record's payload: record identifier, chunk number, bytes, and the digest and length of the payload up
-to and with this chunk; the last chunk's are the whole payload's. A record is never held whole: a reader keeps one chunk.
-Archives are split between tasks by file.
+A payload is a run of rows: record identifier, chunk number, bytes. write_chunks() makes archives of such a table, one for
+each partition, each record a gzip member of its own as is usual for archives; write() does so from whole payloads, which it
+takes one at a time, in slices of the batch that came, without a copy. read() gives the table back: one row for each chunk of
+a record's payload, with the digest and length of the payload up to and with this chunk; the last chunk's are the whole
+payload's, and a response whose declared digest is another is an error. Neither side ever holds a record that comes in chunks:
+a writer keeps a batch of them, a reader one. Archives are split between tasks by file.
 
 Records of equal payloads are written once (see roles()): the others are revisit records that name the first by its
 identifier and carry its digest and length in their header.
 
 Defined results: null payloads are empty; an empty payload is one chunk of no bytes; repeated rows (same identifier and
-payload) are all responses if they are the one to keep; an empty table gives archives of no records.
+payload) are all responses if they are the one to keep; an empty table gives archives of no records; chunks that are missing,
+or don't add up to the declared length, are an error.
 """
 
 from __future__ import annotations
@@ -18,14 +20,14 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_at_end, new_dir, save, small_batches
+from .common import drop_at_end, new_dir, save, ship
 
 #: Lines of a WARC 1.1 record (fixed values).
 VERSION = b"WARC/1.1\r\n"
@@ -78,11 +80,11 @@ def _plain(value: str) -> str:
     return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
 
-def write_record(out: BinaryIO, page_id: object, uri: str | None, payload: bytes, digest: str, n: int, refers_to: object, slice_bytes: int = 1 << 20) -> None:
+def _head(record_id: str, uri: str | None, digest: str, n: int, refers_to: str | None) -> bytes:
     revisit = refers_to is not None
     lines = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
+        ("WARC-Record-ID", f"<urn:page:{record_id}>"),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("X-Payload-Bytes", n),
@@ -93,45 +95,97 @@ def write_record(out: BinaryIO, page_id: object, uri: str | None, payload: bytes
         lines.append(("WARC-Target-URI", uri))
     if revisit:
         lines += [("WARC-Profile", SAME_DIGEST), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
-    out.write(VERSION + "".join(f"{k}: {_clean(v)}\r\n" for k, v in lines).encode("utf-8", "surrogatepass") + b"\r\n")
-    if not revisit:
-        view = memoryview(payload)
-        for i in range(0, n, slice_bytes):
-            out.write(view[i : i + slice_bytes])
-    out.write(b"\r\n\r\n")
+    return VERSION + "".join(f"{k}: {_clean(v)}\r\n" for k, v in lines).encode("utf-8", "surrogatepass") + b"\r\n"
+
+
+#: A row for the writer: record_id, uri, digest, bytes, refers_to, chunk, data.
+Chunk = tuple[str | None, str | None, str, int, str | None, int, memoryview]
+
+
+def write_records(out: BinaryIO, chunks: Iterable[Chunk], packed: bool = True) -> int:
+    """Write records whose chunks come in order, each as a gzip member; the number of records."""
+    n, member, left, due = 0, None, 0, 0
+
+    def end() -> None:
+        if left:
+            raise ValueError(f"{left} bytes of a record are missing")
+        member.write(b"\r\n\r\n")
+        if packed:
+            member.close()
+
+    for record_id, uri, digest, size, refers_to, chunk, data in chunks:
+        if chunk == 0:
+            if member is not None:
+                end()
+            member = gzip.GzipFile(fileobj=out, mode="wb", compresslevel=3, mtime=0) if packed else out
+            member.write(_head(record_id or "", uri, digest, size, refers_to))
+            left, n = 0 if refers_to is not None else size, n + 1
+        elif chunk != due:
+            raise ValueError(f"chunk {due} of record {record_id} is missing")
+        due = chunk + 1
+        if refers_to is None:
+            if len(data) > left:
+                raise ValueError(f"record {record_id} is longer than declared")
+            member.write(data)
+            left -= len(data)
+    if member is not None:
+        end()
+    return n
 
 
-def write(records: DataFrame, path: str | None = None) -> DataFrame:
-    """records: page_id, uri, payload, digest, bytes, refers_to. Writes archives below path (in the shared folder by default)
-    and returns their list: file, records, bytes. A task that runs again replaces its own file."""
-    spark = records.sparkSession
-    small_batches(spark, 64)
+_FILES = "file string, records long, bytes long"
+
+
+def _archives(rows: DataFrame, path: str | None, chunks_of_batch: Callable[[pa.RecordBatch], Iterator[Chunk]]) -> DataFrame:
+    spark = rows.sparkSession
+    ship(spark)
     own, path = path is None, path or new_dir(spark, "warc")
     _make(spark, path)
     if own:
         drop_at_end(spark, path)
 
-    def f(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         from pyspark import TaskContext
 
         to = f"{path}/part-{TaskContext.get().partitionId():06d}.warc.gz"
-        part, n = f"{to}.{uuid.uuid4().hex}.open", 0
+        part = f"{to}.{uuid.uuid4().hex}.open"
         with open_file(part, "wb") as out:
-            for d in it:
-                for row in zip(*(d[c].tolist() for c in ("page_id", "uri", "payload", "digest", "bytes", "refers_to"))):
-                    with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=3, mtime=0) as member:
-                        write_record(member, row[0], row[1], bytes(row[2]), row[3], row[4], row[5])
-                    n += 1
+            n = write_records(out, (c for b in batches for c in chunks_of_batch(b)))
             size = out.tell()
         rename(part, to)
-        yield pd.DataFrame({"file": [to], "records": [n], "bytes": [size]})
+        yield pa.RecordBatch.from_pydict({"file": [to], "records": [n], "bytes": [size]})
+
+    done = rows.mapInArrow(f, _FILES)
+    return spark.createDataFrame(done.collect(), done.schema)  # one row for each archive
+
+
+def write(records: DataFrame, path: str | None = None, slice_bytes: int = 1 << 20) -> DataFrame:
+    """records: page_id, uri, payload, digest, bytes, refers_to. Writes archives below path (in the shared folder by default)
+    and returns their list: file, records, bytes. A task that runs again replaces its own file."""
+
+    def chunks(b: pa.RecordBatch) -> Iterator[Chunk]:
+        names = [c.to_pylist() for c in b.columns[1:]]
+        for payload, *own in zip(b.column(0), *names):
+            view = memoryview(payload.as_buffer())  # of the batch: no copy
+            for k, i in enumerate(range(0, max(1, len(view)), slice_bytes)):
+                yield *own, k, view[i : i + slice_bytes]
+
+    rows = records.select("payload", F.col("page_id").cast("string").alias("record_id"), "uri", "digest", "bytes", F.col("refers_to").cast("string").alias("refers_to"))
+    return _archives(rows, path, chunks)
 
-    # identifiers as text: a column of whole numbers and nulls would be floats in pandas
-    done = records.select(F.col("page_id").cast("string").alias("page_id"), "uri", "payload", "digest", "bytes", F.col("refers_to").cast("string").alias("refers_to")).mapInPandas(f, "file string, records long, bytes long")
-    rows = done.collect()  # one row for each archive
-    return spark.createDataFrame(rows, done.schema)
+
+def write_chunks(chunks: DataFrame, path: str | None = None) -> DataFrame:
+    """The same from a table of chunks: record_id, uri, digest, bytes (of the whole payload), refers_to, chunk, data."""
+
+    def rows(b: pa.RecordBatch) -> Iterator[Chunk]:
+        names = [c.to_pylist() for c in b.columns[1:]]
+        for data, *own in zip(b.column(0), *names):
+            yield *own, memoryview(data.as_buffer() or b"")
+
+    table = chunks.select(F.coalesce("data", F.lit(b"")).alias("data"), F.col("record_id").cast("string").alias("record_id"), "uri", "digest", F.col("bytes").cast("long").alias("bytes"), F.col("refers_to").cast("string").alias("refers_to"), F.col("chunk").cast("int").alias("chunk"))
+    return _archives(table.repartition("record_id").sortWithinPartitions("record_id", "chunk"), path, rows)
 
 
 def _make(spark: SparkSession, path: str) -> None:
@@ -184,6 +238,8 @@ def chunks_of(file: BinaryIO, chunk_bytes: int) -> Iterator[tuple]:
             left -= len(data)
             so_far += len(data)
             digest.update(data)
+            if not left and own[1] == "response" and own[4] and own[4] != digest.hexdigest():
+                raise ValueError(f"the payload of record {own[0]} is not of its digest {own[4]}")
             yield (*own, n, data, so_far, digest.hexdigest(), left == 0, headers if n == 0 else None)
             n += 1
             if not left:
@@ -192,23 +248,23 @@ def chunks_of(file: BinaryIO, chunk_bytes: int) -> Iterator[tuple]:
 
 def read(spark: SparkSession, files: DataFrame, chunk_bytes: int = 1 << 18, keep_data: bool = True) -> DataFrame:
     """The chunk table of archives; files has a column file. Without keep_data the bytes are digested and left out."""
-    small_batches(spark)
-
-    def f(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in CHUNKS.split(", ")]
-        for d in it:
-            for path in d["file"]:
+    ship(spark)
+    names = [c.split()[0] for c in CHUNKS.split(", ")]
+    kinds = [pa.string()] * 5 + [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.bool_(), pa.map_(pa.string(), pa.string())]
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names)
+        for b in batches:
+            for path in b.column(0).to_pylist():
                 rows, held = [], 0
                 with open_file(path, "rb") as file:
                     for row in chunks_of(file, chunk_bytes):
-                        if not keep_data:
-                            row = (*row[:7], None, *row[8:11], None)
-                        rows.append(row)
-                        held += len(row[7] or b"") + 500
-                        if held > 8 << 20:
-                            yield pd.DataFrame(rows, columns=names)
+                        rows.append((*row[:11], list(row[11].items()) if row[11] else None) if keep_data else (*row[:7], None, *row[8:11], None))
+                        held += len(rows[-1][7] or b"") + 500
+                        if held > 4 << 20:
+                            yield give(rows)
                             rows, held = [], 0
-                yield pd.DataFrame(rows, columns=names)
+                yield give(rows)
 
     n = max(1, files.count())
-    return files.select("file").repartition(n).mapInPandas(f, CHUNKS)
+    return files.select("file").repartition(n).mapInArrow(f, CHUNKS)
