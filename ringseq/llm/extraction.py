@@ -7,7 +7,10 @@ downward from the root (sum-product), and give each node's exact marginal, as th
 marginal is at least one half are the blocks of the main text.
 
 The potentials are trained by the exact gradient of the likelihood on labelled pages: pages() writes them, with a label
-on each element, from a grammar of many layouts. Their number and seed are parameters.
+on each element, from a grammar of several families of layouts (see `layouts`). Their number and seed are parameters.
+
+Features are kept as lists of those that are there, and pages are taken together up to a number of nodes, so memory follows
+the nodes of a few pages, or of one long page.
 
 Defined results: null and empty pages, and pages without content, have an empty text; white space inside a block, line
 breaks included, is one space; character references are decoded once; unclosed tags end with the page.
@@ -15,17 +18,15 @@ breaks included, is one space; character references are decoded once; unclosed t
 
 from __future__ import annotations
 
-import random
 import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import mapped
 from .dom import HEADINGS, Node, tree
+from .layouts import pages
 
 # Words in class, id or role by what they say, in a few languages.
 WORDS = {
@@ -49,8 +50,12 @@ WIDTH = len(_COLUMN)
 _MARK = re.compile(r"©|copyright|all rights reserved|cookie|alle rechte|tous droits|todos los derechos", re.I)
 
 
-@lru_cache(maxsize=8192)
 def _words(source: str) -> tuple[str, ...]:
+    return _words_of_short(source) if len(source) < 200 else _words_of_short.__wrapped__(source)
+
+
+@lru_cache(maxsize=8192)
+def _words_of_short(source: str) -> tuple[str, ...]:
     return tuple(sorted({k for w in _SPLIT.split(source) if (k := _KIND.get(w.lower()))}))
 
 
@@ -66,34 +71,51 @@ def _element(n: Node) -> list[int]:
     return out
 
 
-def graph(pages: list[list[Node]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Features, parents, nodes by depth, and each node's kind of edge (2 for text, 1 more below the body), of several pages' trees."""
-    total = sum(map(len, pages))
-    x, parent, depth, kind = np.zeros((total, WIDTH)), np.full(total, -1), np.zeros(total, np.int64), np.zeros(total, np.int64)
-    c, base = _COLUMN, 0
-    for nodes in pages:
-        for i, n in enumerate(nodes):
-            k = base + i
-            if n.parent >= 0:
-                parent[k], depth[k] = base + n.parent, depth[base + n.parent] + 1
-                kind[k] = 2 * (n.text is not None) + (_TAG_OF.get(nodes[n.parent].tag) == "page")
-            if n.text is None:
-                x[k, _element(n)] = 1
-                continue
-            size, under = len(n.text), _TAG_OF.get(nodes[n.parent].tag, nodes[n.parent].tag)
-            x[k, c["text"]] = 1
-            x[k, c["long"]] = min(1.0, size / 80)
-            x[k, c["longer"]] = min(1.0, size / 400)
-            x[k, c["links"]] = n.links / size
-            x[k, c["linked"]] = n.links > 0.5 * size
-            x[k, c["ends"]] = n.text[-1] in ".!?…\"”"
-            x[k, c["mark"]] = bool(size < 300 and _MARK.search(n.text))
-            x[k, c["one word"]] = " " not in n.text
-            x[k, c["under heading"]], x[k, c["under list"]], x[k, c["under p"]] = under == "heading", under == "list", under == "p"
-        base += len(nodes)
-    order = np.argsort(depth, kind="stable")
-    cuts = np.flatnonzero(np.diff(depth[order])) + 1
-    return x, parent, np.split(order, cuts), kind
+class Graph:
+    """Several pages' trees: features as (node, column, value), parents, nodes by depth, and each node's kind of edge (2 for
+    text, 1 more below the body)."""
+
+    def __init__(self, pages: list[list[Node]]):
+        node, column, value, parent, depth, kind, c, base = [], [], [], [], [], [], _COLUMN, 0
+
+        def mark(k: int, where: int, x: float = 1.0) -> None:
+            node.append(k)
+            column.append(where)
+            value.append(x)
+
+        for nodes in pages:
+            for n in nodes:
+                k, above = len(parent), nodes[n.parent]
+                parent.append(base + n.parent if n.parent >= 0 else -1)
+                depth.append(depth[base + n.parent] + 1 if n.parent >= 0 else 0)
+                kind.append(2 * (n.text is not None) + (_TAG_OF.get(above.tag) == "page") if n.parent >= 0 else 0)
+                if n.text is None:
+                    for where in set(_element(n)):
+                        mark(k, where)
+                    continue
+                size, under = len(n.text), _TAG_OF.get(above.tag, above.tag)
+                mark(k, c["text"])
+                mark(k, c["long"], min(1.0, size / 80))
+                mark(k, c["longer"], min(1.0, size / 400))
+                for where, x in (("links", n.links / size), ("linked", n.links > 0.5 * size), ("ends", n.text[-1] in ".!?…\"”"), ("mark", size < 300 and _MARK.search(n.text)), ("one word", " " not in n.text)):
+                    if x:
+                        mark(k, c[where], x if where == "links" else 1.0)
+                if under in ("heading", "list", "p"):
+                    mark(k, c[f"under {under}"])
+            base = len(parent)
+        self.size, self.parent, self.kind = base, np.array(parent, np.int64), np.array(kind, np.int64)
+        self.node, self.column, self.value = np.array(node, np.int64), np.array(column, np.int64), np.array(value, float)
+        levels = np.array(depth, np.int64)
+        order = np.argsort(levels, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(levels[order])) + 1)
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """Of each node: its features' weighted sum."""
+        return np.bincount(self.node, self.value * weights[self.column], self.size)
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Of each feature: its values times x of their nodes."""
+        return np.bincount(self.column, self.value * x[self.node], WIDTH)
 
 
 class Model:
@@ -102,11 +124,11 @@ class Model:
     def __init__(self, weights: np.ndarray, table: np.ndarray):
         self.weights, self.table = weights, table
 
-    def marginals(self, x: np.ndarray, parent: np.ndarray, levels: list[np.ndarray], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def marginals(self, g: Graph) -> tuple[np.ndarray, np.ndarray]:
         """P(content) of each node, and [n, 2, 2] of each node with its parent (zeros at roots)."""
-        n = len(x)
+        n, parent, levels, kind = g.size, g.parent, g.levels, g.kind
         up = np.zeros((n, 2))  # own potential and the children's messages
-        up[:, 1] = x @ self.weights
+        up[:, 1] = g.scores(self.weights)
         edge, message = self.table[kind], np.zeros((n, 2))
         for own in levels[:0:-1]:
             s = edge[own] + up[own][:, None, :]
@@ -129,22 +151,22 @@ class Model:
 
 
 @lru_cache(maxsize=4)
-def train(n: int = 300, seed: int = 5, steps: int = 120, l2: float = 0.003) -> Model:
-    """Fit on n labelled pages."""
-    labelled = [labels_of(tree(h)) for h in pages(n, seed)]
+def train(n: int = 500, seed: int = 5, steps: int = 200, l2: float = 0.003, without: str | None = None) -> Model:
+    """Fit on n labelled pages; without: a family of layouts that is left out."""
+    labelled = [labels_of(tree(h)) for h in pages(n, seed, without=without)]
     trees, y = [t for t, _ in labelled], np.array([v for _, own in labelled for v in own], float)
-    x, parent, levels, kind = graph(trees)
-    inner = np.concatenate(levels[1:])
+    g = Graph(trees)
+    inner = np.concatenate(g.levels[1:])
     seen = np.zeros((4, 2, 2))
-    np.add.at(seen, (kind[inner], y[parent[inner]].astype(int), y[inner].astype(int)), 1)
+    np.add.at(seen, (g.kind[inner], y[g.parent[inner]].astype(int), y[inner].astype(int)), 1)
     model = Model(np.zeros(WIDTH), np.zeros((4, 2, 2)))
     m, v = [0.0, 0.0], [0.0, 0.0]
     for t in range(1, steps + 1):
-        p, pair = model.marginals(x, parent, levels, kind)
-        hoped = np.stack([pair[kind == k].sum(axis=0) for k in range(4)])
-        for k, (value, g) in enumerate(((model.weights, (y - p) @ x), (model.table, seen - hoped))):
-            g = g / len(trees) - l2 * value
-            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
+        p, pair = model.marginals(g)
+        hoped = np.stack([pair[g.kind == k].sum(axis=0) for k in range(4)])
+        for k, (value, gradient) in enumerate(((model.weights, g.sums(y - p)), (model.table, seen - hoped))):
+            gradient = gradient / len(trees) - l2 * value
+            m[k], v[k] = 0.9 * m[k] + 0.1 * gradient, 0.99 * v[k] + 0.01 * gradient * gradient
             value += 0.15 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
     return model
 
@@ -166,162 +188,30 @@ def labels_of(nodes: list[Node]) -> tuple[list[Node], list[int]]:
     return kept, y
 
 
-def main_texts(model: Model, html: list[str | None]) -> list[str]:
-    trees = [tree(h or "") for h in html]
-    if not trees:
-        return []
-    p, _ = model.marginals(*graph(trees))
-    out, base = [], 0
-    for nodes in trees:
-        out.append("\n\n".join(n.text for i, n in enumerate(nodes) if n.text is not None and p[base + i] >= 0.5))
-        base += len(nodes)
+def main_texts(model: Model, html: list[str | None], nodes: int = 50_000) -> list[str]:
+    """Of pages, which are taken together up to a number of nodes."""
+    out, held, size = [], [], 0
+
+    def solve() -> None:
+        base = 0
+        if held:
+            p, _ = model.marginals(Graph(held))
+            for own in held:
+                out.append("\n\n".join(n.text for i, n in enumerate(own) if n.text is not None and p[base + i] >= 0.5))
+                base += len(own)
+            held.clear()
+
+    for h in html:
+        held.append(tree(h or ""))
+        size += len(held[-1])
+        if size >= nodes:
+            solve()
+            size = 0
+    solve()
     return out
 
 
 def extract(docs: DataFrame, html: str = "html", to: str = "text", model: Model | None = None) -> DataFrame:
     """docs with the main text of the column html."""
-    small_batches(docs.sparkSession, 128)
     model = model or train()
-
-    @F.pandas_udf("string")
-    def f(s: pd.Series) -> pd.Series:
-        return pd.Series(main_texts(model, s.tolist()), dtype=object)
-
-    return docs.withColumn(to, f(F.col(html)))
-
-
-# Labelled pages. Every element that begins or ends content has data-y; others have their parent's label.
-
-_SYLLABLES = "the an re on st er in ti ou ea nd he ha le de ra ci ón que en ie ch ung ver ge mi bo la es do tz pf ai eau oi con".split()
-
-
-def pages(n: int, seed: int) -> list[str]:
-    rng = random.Random(seed)
-    return [_page(rng) for _ in range(n)]
-
-
-def _word(r: random.Random) -> str:
-    return "".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4)))
-
-
-def _sentence(r: random.Random, least: int = 3, most: int = 18) -> str:
-    words = [_word(r) for _ in range(r.randint(least, most))]
-    odd = r.random()
-    if odd < 0.04:
-        words = [w + r.choice(("%%%", "***", "&&&amp;", "!!")) for w in words]
-    elif odd < 0.07:
-        words = " | ".join(words).split()
-    elif odd < 0.1:
-        words = [w.upper() for w in words]
-    return " ".join(words).capitalize() + r.choice(("." * (r.random() < 0.8), "?", "!", ".", "."))
-
-
-def _text(r: random.Random, most: int = 6) -> str:
-    out = [_sentence(r) for _ in range(r.randint(1, most))]
-    if r.random() < 0.15:
-        out.insert(0, f"<a href='/x'>{_word(r)} {_word(r)}</a>")
-    return r.choice(("{}", "{}", "{}", "<b>{}<br>", "<em>{}</em>", "{}<br>", "<b>{}<br>")).replace("{}", " ".join(out))
-
-
-def _links(r: random.Random, tag: str = "li") -> str:
-    items = "".join(f"<{tag}><a href='/{i}'>{' '.join(_word(r) for _ in range(r.randint(1, 3)))}</a></{tag}>" for i in range(r.randint(2, 8)))
-    return f"<ul>{items}</ul>" if tag == "li" else items
-
-
-def _box(r: random.Random, tags: str, names: str, inner: str, label: int = 0, named: float = 0.75) -> str:
-    """An element whose tag, class or id tells what it is, mostly: a telling tag, or a name."""
-    tag = r.choice(tags.split())
-    plain = tag in ("div", "section", "ul")
-    attr = ""
-    if r.random() < (named if plain else 0.4):
-        attr = f" {r.choice(('class', 'class', 'id'))}=\"{r.choice(('', '', 'site-', 'block ', 'js_'))}{r.choice(names.split())}{r.choice(('', '', '-wrap', ' box', '_1'))}\""
-    return f'<{tag}{attr} data-y="{label}">{inner}</{tag}>'
-
-
-def _block(r: random.Random) -> str:
-    k = r.random()
-    if k < 0.68:
-        return f"<p>{_text(r)}" + r.choice(("</p>", "</p>", "</p>\n", ""))
-    if k < 0.76:
-        return f"<h{(h := r.choice((2, 3)))}>{_sentence(r, 2, 6)}</h{h}>"
-    if k < 0.83:
-        return "<ul>" + "".join(f"<li>{_text(r, 2)}</li>" for _ in range(r.randint(1, 5))) + "</ul>"
-    if k < 0.87:
-        return f"<blockquote>{_text(r)}</blockquote>"
-    if k < 0.90:
-        return f"<pre>{_text(r, 3)}</pre>"
-    if k < 0.93:
-        return "<table>" + "".join(f"<tr><td>{_word(r)}</td><td>{_sentence(r)}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>"
-    if k < 0.96:
-        return f"<figure><img src=x><figcaption>{_sentence(r)}</figcaption></figure>"
-    return f"<div>{_text(r)}</div>"
-
-
-def _advert(r: random.Random) -> str:
-    return _box(r, "div div aside section", "ad ads advert advertisement banner-ad sponsored promo adslot", r.choice((_text(r, 3), f"<p>{_text(r, 2)}</p>", f"<a href=x>{_sentence(r)}</a>")), named=1.0)
-
-
-def _comments(r: random.Random) -> str:
-    own = "".join(f"<{t} class='{r.choice(('comment', 'comment-body', 'c', 'reply'))}'><p>{_text(r, 4)}</p></{t}>" for t in [r.choice(("div", "li", "div"))] for _ in range(r.randint(1, 6)))
-    return _box(r, "section div div", "comments comment-list comments-area responses discussion", f"<h3>{_word(r)} {_word(r)}</h3>" * (r.random() < 0.5) + own, named=1.0)
-
-
-def _form(r: random.Random) -> str:
-    inner = f"<label>{_sentence(r, 1, 5)}</label><input name=q>" + f"<select><option>{_word(r)}<option>{_word(r)}</select>" * (r.random() < 0.3) + f"<button>{_word(r)}</button>"
-    if r.random() < 0.4:
-        inner = f"<p>{_text(r, 2)}</p>" + inner
-    if r.random() < 0.35:
-        inner = f"<h3>{_sentence(r, 1, 4)}</h3>" * (r.random() < 0.5) + f"<p>{_text(r, 2)}</p>" + f"<form>{inner}</form>"
-        return _box(r, "section div div", "newsletter newsletter-signup subscribe search-box login-box signup contact-form", inner, named=1.0)
-    return _box(r, "form", "search newsletter login signup contact", inner)
-
-
-def _notice(r: random.Random) -> str:
-    return _box(r, "div div section dialog", "cookie-notice cookie-banner gdpr consent alert notice popup modal message", r.choice((_text(r, 3), f"<p>{_text(r, 3)}</p><button>{_word(r)}</button>")), named=1.0)
-
-
-def _share(r: random.Random) -> str:
-    return _box(r, "div ul", "share social-share sharing follow related-links tags", _links(r), named=0.9)
-
-
-def _page(r: random.Random) -> str:
-    head = f"<head><meta charset=utf-8><title>{_sentence(r)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
-    title = f"<h1>{_sentence(r, 3, 10)}</h1>"
-    blocks = [_block(r) for _ in range(r.choice((1, 2, 3, 5, 8, 12)))]
-    if r.random() < 0.08:
-        blocks = [f"<p>{' '.join(_word(r) for _ in range(r.randint(1, 4)))}{r.choice(('', '.'))}</p>"]
-    for extra, chance in ((_advert, 0.25), (_share, 0.15), (_form, 0.05), (_notice, 0.05)):
-        if r.random() < chance:
-            blocks.insert(r.randint(0, len(blocks)), extra(r))
-    inner = title * (r.random() < 0.8) + "".join(blocks)
-    if r.random() < 0.12:
-        inner += _comments(r)
-    article = _box(r, "article article article main div div section", "content article post entry-content story main-content article-body post-body text", inner, 1, 0.85)
-    if r.random() < 0.25:
-        article = f'<{(t := r.choice(("main", "div")))} data-y="0">{article}{_comments(r) * (r.random() < 0.3)}</{t}>'
-    elif (bare := r.random()) < 0.08:  # no element of its own: the blocks lie beside all others
-        article = "".join(re.sub(r"^<(\w+)(?![^>]*data-y)", r'<\1 data-y="1"', b) for b in ([title] if r.random() < 0.8 else []) + blocks)
-    elif bare < 0.12:
-        article = f'<x-text data-y="1">{_text(r)}</x-text>'
-    before, after = [], []
-    for put, make, chance in (
-        (before, lambda: _box(r, "header header div", "header masthead site-header branding top", r.choice((f"<a href=/>{_word(r)}</a>", f"<h1>{_sentence(r, 1, 3)}</h1>", f"<a href=/>{_sentence(r, 1, 3)}</a>")) + f"<p>{_sentence(r)}</p>" * (r.random() < 0.5)), 0.5),
-        (before, lambda: _box(r, "nav nav nav ul div", "nav menu navigation navbar breadcrumbs main-menu", _links(r, r.choice(("li", "li", "span")))), 0.9),
-        (before, lambda: _notice(r), 0.3),
-        (before, lambda: _advert(r), 0.5),
-        (before, lambda: _form(r), 0.2),
-        (before, lambda: _box(r, "aside div", "sidebar side-bar left-column widget", f"<h3>{_word(r)}</h3>" + r.choice((_links(r), f"<p>{_text(r, 3)}</p>"))), 0.2),
-        (after, lambda: _share(r), 0.2),
-        (after, lambda: _comments(r), 0.35),
-        (after, lambda: _box(r, "aside aside div", "sidebar side-bar right-rail widget related recommended", f"<h3>{_word(r)}</h3>" + r.choice((_links(r), f"<p>{_text(r, 3)}</p>", _links(r, "p")))), 0.5),
-        (after, lambda: _advert(r), 0.2),
-        (after, lambda: _notice(r), 0.15),
-        (after, lambda: _form(r), 0.15),
-        (after, lambda: _box(r, "footer footer footer div", "footer site-footer bottom copyright", r.choice(("&copy; ", "Copyright ", "")) + _sentence(r) + _links(r, "span") * (r.random() < 0.4) + f"<p>{_text(r, 2)}</p>" * (r.random() < 0.3)), 0.9),
-    ):
-        if r.random() < chance:
-            put.append(make())
-    inner = "".join(before) + article + "".join(after)
-    if r.random() < 0.35:
-        inner = f'<div {r.choice(("id=page", "class=wrapper", "class=container", "id=root"))}>{inner}</div>'
-    return f"<!DOCTYPE html><html>{head}<body>{inner}" + r.choice(("</body></html>", "</body></html>", ""))
+    return mapped(docs, html, to, "string", lambda pages: main_texts(model, pages))
