@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -27,10 +27,10 @@ SQL_FUNCTIONS = {
 }
 
 
-@F.pandas_udf(IntegerType())
-def _monomer_end(seq: pd.Series, seed_length: pd.Series, max_mismatch: pd.Series) -> pd.Series:
-    out = [None if s is None else kernels.Monomerizer(int(k), int(d)).end(s.encode()) for s, k, d in zip(seq, seed_length, max_mismatch)]
-    return pd.Series(out, dtype="Int32")
+@F.arrow_udf(IntegerType())
+def _monomer_end(seq: pa.Array, seed_length: pa.Array, max_mismatch: pa.Array) -> pa.Array:
+    rows = zip(seq.cast(pa.binary()).to_pylist(), seed_length.to_pylist(), max_mismatch.to_pylist())
+    return pa.array([None if s is None else kernels.Monomerizer(k, d).end(s) for s, k, d in rows], pa.int32())
 
 
 def register(spark: SparkSession) -> None:

@@ -1,28 +1,35 @@
-"""The kernels as vectorized UDFs. Each is marked nondeterministic, so a filter on its output doesn't run it twice;
+"""The kernels as UDFs on Arrow arrays. Each is marked nondeterministic, so a filter on its output doesn't run it twice;
 filters on its input have to stand before it."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
-from . import kernels
+from . import frames, kernels
+
+
+def _each(s: pa.Array, f: Callable[[bytes], object], kind: pa.DataType) -> pa.Array:
+    return pa.array([None if x is None else f(x) for x in s.cast(pa.binary()).to_pylist()], kind)
 
 
-@F.pandas_udf(StringType())
-def _lmsr(s: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else kernels.lmsr(x.encode()).decode() for x in s], dtype=object)
+@F.arrow_udf(StringType())
+def _lmsr(s: pa.Array) -> pa.Array:
+    return _each(s, kernels.lmsr, pa.binary()).cast(pa.string())
 
 
-@F.pandas_udf(IntegerType())
-def _lmsr_index(s: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else kernels.lmsr_index(x.encode()) for x in s], dtype="Int32")
+@F.arrow_udf(IntegerType())
+def _lmsr_index(s: pa.Array) -> pa.Array:
+    return _each(s, kernels.lmsr_index, pa.int32())
 
 
-@F.pandas_udf(StringType())
-def _canonical(s: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else kernels.canonicalize(x.encode()).decode() for x in s], dtype=object)
+@F.arrow_udf(StringType())
+def _canonical(s: pa.Array) -> pa.Array:
+    return _each(s, kernels.canonicalize, pa.binary()).cast(pa.string())
 
 
 lmsr, lmsr_index, canonical = (f.asNondeterministic() for f in (_lmsr, _lmsr_index, _canonical))
@@ -31,10 +38,9 @@ lmsr, lmsr_index, canonical = (f.asNondeterministic() for f in (_lmsr, _lmsr_ind
 def monomer_end(config: kernels.Monomerizer, sensitive: bool = False):
     """A UDF from a normalized sequence to its monomer's end; null where there is no overlap, and for null."""
 
-    @F.pandas_udf("int")
-    def f(s: pd.Series) -> pd.Series:
-        end = config.end_sensitive if sensitive else config.end
-        return pd.Series([None if x is None else end(x.encode()) for x in s], dtype="Int32")
+    @F.arrow_udf("int")
+    def f(s: pa.Array) -> pa.Array:
+        return _each(s, config.end_sensitive if sensitive else config.end, pa.int32())
 
     return f.asNondeterministic()
 
@@ -42,35 +48,27 @@ def monomer_end(config: kernels.Monomerizer, sensitive: bool = False):
 def codon_positions(start_codons: tuple[str, ...], stop_codons: tuple[str, ...]):
     """A UDF from a normalized sequence to the places of both kinds of codons on the circle."""
 
-    @F.pandas_udf("starts array<int>, stops array<int>")
-    def f(s: pd.Series) -> pd.DataFrame:
-        found = [kernels.codon_positions((x or "").encode(), start_codons, stop_codons) for x in s]
-        return pd.DataFrame({"starts": [a.astype("int32") for a, _ in found], "stops": [b.astype("int32") for _, b in found]})
+    @F.arrow_udf("starts array<int>, stops array<int>")
+    def f(s: pa.Array) -> pa.Array:
+        return frames.places(s, start_codons, stop_codons)
 
     return f.asNondeterministic()
 
 
-def reading_frames(start_codons: tuple[str, ...], stop_codons: tuple[str, ...], longest: bool = False, min_length: int = -3, stop_required: bool = False, min_wraps: int = 0, max_wraps: int = 3, min_ratio: float = 0.0):
-    """A UDF from a normalized sequence to its frames after the filters, and the longest of each stop if asked for.
+def reading_frames(start_codons: tuple[str, ...], stop_codons: tuple[str, ...], strands: str | None = None, **limits):
+    """A UDF from a normalized sequence to its frames after the limits of frames.frames, with the field reverse where strands are chosen.
 
-    All of a sequence's frames stay in its row: no shuffle, and no more than one frame for each of its bases.
+    All of a sequence's frames stay in its row: no shuffle, and no more than one frame for each of its bases and strands.
     """
+    own = "start:int,stop:int,wraps:int,length:int"
 
-    @F.pandas_udf("array<struct<start:int,stop:int,wraps:int,length:int>>")
-    def f(s: pd.Series) -> pd.Series:
-        out = []
-        for x in s:
-            o = kernels.find_orfs((x or "").encode(), start_codons, stop_codons)
-            keep = (o[:, 3] - 3 >= min_length) & (o[:, 2] >= min_wraps) & (o[:, 2] <= max_wraps)
-            if stop_required:
-                keep &= o[:, 1] >= 0
-            if len(x or ""):
-                keep &= o[:, 3] / len(x) >= min_ratio
-            o = o[keep]
-            o = kernels.longest_orfs(o) if longest else o
-            out.append([(a, None if b < 0 else b, w, n) for a, b, w, n in o.tolist()])
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf(f"array<struct<{'reverse:boolean,' * bool(strands)}{own}>>")
+    def f(s: pa.Array) -> pa.Array:
+        found = frames.frames(s, start_codons, stop_codons, strands or "+", **limits)
+        if strands:
+            return found
+        rows = found.values
+        names = ["start", "stop", "wraps", "length"]
+        return pa.ListArray.from_arrays(found.offsets, pa.StructArray.from_arrays([pc.struct_field(rows, n) for n in names], names))
 
     return f.asNondeterministic()
-
-

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringseq.deploy import ship
+from ringseq.deploy import save, ship
 from ringseq.functions import exprs, udfs
 
 from .options import MonomerizeOptions, OrfOptions, rotation
@@ -43,38 +43,54 @@ def canonicalize(df: DataFrame) -> DataFrame:
 
 
 def _order(df: DataFrame) -> list[Column]:
-    """Order of the input: file and ord where the source gives them, then the header."""
-    return [F.col(c) for c in ("file", "ord") if c in df.columns] + [F.col("head")]
+    """Order of the input: file and ord where the source gives them, then the header, and the sequence of records that share all that."""
+    place = [F.col(c) for c in ("file", "ord") if c in df.columns]
+    return [*place, F.col("head")] if len(place) == 2 else [*place, F.col("head"), F.col("seq")]
 
 
 def _id(df: DataFrame) -> Column:
     return F.col("id") if "id" in df.columns else exprs.fasta_id(F.col("head"))
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    ship(df.sparkSession)
+    return df.withColumn("canonical_form", udfs.canonical(exprs.normalize_dna(F.col("seq"))))
+
+
+def _first(keyed: DataFrame, df: DataFrame, canonicalize: bool) -> DataFrame:
+    carried = [c for c in df.columns if not (canonicalize and c == "seq")]  # the form stands for the sequence: it is shuffled once
+    kept = keyed.groupBy("canonical_form").agg(F.min_by(F.struct(*carried), F.struct(*_order(df))).alias("kept")).select("canonical_form", "kept.*")
+    return (kept.withColumnRenamed("canonical_form", "seq") if canonicalize else kept).select(*df.columns)
+
+
+def _duplicates(rows: DataFrame) -> DataFrame:
+    """rows: saved, with own_id, place, row (a number) and canonical_form. The first of each form is written before it is joined
+    back, so both sides are exchanges of their own and adaptive execution can split a form that very many records share."""
+    first = rows.groupBy("canonical_form").agg(F.min(F.struct("place", "row", "own_id")).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    first = save(first.select(F.col("canonical_form").alias("form"), F.col("kept.row").alias("first"), F.col("kept.own_id").alias("id")), "first")
+    return rows.select("own_id", "row", "canonical_form").join(first, F.col("canonical_form").eqNullSafe(F.col("form"))).where("row <> first").select("id", F.col("own_id").alias("duplicate_id"))
+
+
 def uniq(df: DataFrame, canonicalize: bool = False) -> DataFrame:
     """The first record of each circular sequence, compared by canonical form; with canonicalize, its sequence in that form.
 
     The first of each group is an aggregate (partial before the shuffle), so a form that very many records share costs no
     task more than its neighbours.
     """
-    ship(df.sparkSession)
-    order = _order(df)
-    keyed = df.withColumn("canonical_form", udfs.canonical(exprs.normalize_dna(F.col("seq"))))
-    carried = [c for c in df.columns if not (canonicalize and c == "seq")]  # the form stands for the sequence: it is shuffled once
-    kept = keyed.groupBy("canonical_form").agg(F.min_by(F.struct(*carried), F.struct(*order)).alias("kept")).select("canonical_form", "kept.*")
-    return (kept.withColumnRenamed("canonical_form", "seq") if canonicalize else kept).select(*df.columns)
+    return _first(_keyed(df), df, canonicalize)
 
 
 def uniq_table(df: DataFrame) -> DataFrame:
-    """Removed records: id of the one kept, id of the duplicate."""
-    ship(df.sparkSession)
-    place = F.struct(*_order(df)).alias("place")
-    keyed = df.select(_id(df).alias("own_id"), place, udfs.canonical(exprs.normalize_dna(F.col("seq"))).alias("form"))
-    first = keyed.groupBy("form").agg(F.min_by(F.struct("own_id", "place"), "place").alias("kept"), F.count("*").alias("n")).where("n > 1")
-    # joined and not windowed, over 16 parts of each form: a form that very many records share is not one task
-    first = first.select(F.col("form").alias("of"), "kept", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("part_of"))
-    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("place"), F.lit(16)).cast("int"))
-    return keyed.join(first, F.col("form").eqNullSafe(F.col("of")) & (F.col("part") == F.col("part_of"))).where(F.col("place") > F.col("kept.place")).select(F.col("kept.own_id").alias("id"), F.col("own_id").alias("duplicate_id"))
+    """Removed records: id of the one kept, id of the duplicate. Equal records, and those of an equal place, are listed as often as they are removed."""
+    rows = _keyed(df).select(_id(df).alias("own_id"), F.struct(*_order(df)).alias("place"), F.monotonically_increasing_id().alias("row"), "canonical_form")
+    return _duplicates(save(rows, "forms"))
+
+
+def uniq_and_table(df: DataFrame, canonicalize: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What uniq and uniq_table give, from one pass of the kernel: forms are written once."""
+    rows = _keyed(df).select("*", _id(df).alias("own_id"), F.struct(*_order(df)).alias("place"), F.monotonically_increasing_id().alias("row"))
+    rows = save(rows, "forms")
+    return _first(rows, df, canonicalize), _duplicates(rows)
 
 
 def _ends(df: DataFrame, o: MonomerizeOptions) -> DataFrame:
@@ -108,30 +124,27 @@ def monomerize_table(df: DataFrame, **options) -> DataFrame:
     return _ends(df, MonomerizeOptions(**options)).select(F.col("head").alias("id"), full.cast("long").alias("original_length"), F.coalesce("monomer_end", full).cast("long").alias("monomer_length"))
 
 
-def _strands(df: DataFrame, o: OrfOptions) -> DataFrame:
-    """Rows for each strand searched: strand, norm (as read on that strand)."""
-    norm = exprs.normalize_dna(F.col("seq"))
-    forward = F.struct(F.lit("+").alias("strand"), norm.alias("norm"))
-    reverse = F.struct(F.lit("-").alias("strand"), exprs.revcomp(norm).alias("norm"))
-    chosen = {"forward": [forward], "reverse": [forward, reverse] if o.reference_compat else [reverse], "both": [forward, reverse]}[o.strand]
-    return df.select("*", F.explode(F.array(*chosen)).alias("s")).select(*df.columns, "s.strand", "s.norm")
-
-
 def _frames(df: DataFrame, o: OrfOptions, longest: bool, filtered: bool = True) -> DataFrame:
+    """A row for each frame: df's columns, norm (normalized, forward), strand, orf. Both strands are read in one pass over the bases."""
     ship(df.sparkSession)
     limits = dict(min_length=o.min_length, stop_required=not o.no_stop_required, min_wraps=o.min_wraps, max_wraps=o.max_wraps, min_ratio=o.min_ratio) if filtered else {}
-    f = udfs.reading_frames(o.start_codons, o.stop_codons, longest=longest, **limits)
-    return _strands(df, o).withColumn("orf", F.explode(f(F.col("norm"))))
+    strands = {"forward": "+", "reverse": "+-" if o.reference_compat else "-", "both": "+-"}[o.strand]
+    f = udfs.reading_frames(o.start_codons, o.stop_codons, strands, longest=longest, **limits)
+    found = df.withColumn("norm", exprs.normalize_dna(F.col("seq"))).withColumn("orf", F.explode(f(F.col("norm"))))
+    return found.withColumn("strand", F.when(F.col("orf.reverse"), "-").otherwise("+"))
+
+
+_FRAME = ["strand", "orf.start", "orf.stop", "orf.wraps", "orf.length"]
 
 
 def find_orfs(df: DataFrame, **options) -> DataFrame:
     """Every reading frame, without filters: df's columns, strand, start, stop, wraps, length (stop codon included)."""
-    return _frames(df, OrfOptions(**options), False, filtered=False).select(*df.columns, "strand", "orf.*")
+    return _frames(df, OrfOptions(**options), False, filtered=False).select(*df.columns, *_FRAME)
 
 
 def longest_orfs(df: DataFrame, **options) -> DataFrame:
     """The longest frame of each stop after the filters; columns as find_orfs."""
-    return _frames(df, OrfOptions(**options), True).select(*df.columns, "strand", "orf.*")
+    return _frames(df, OrfOptions(**options), True).select(*df.columns, *_FRAME)
 
 
 def codon_positions(df: DataFrame, **options) -> DataFrame:
@@ -149,7 +162,7 @@ def orfs(df: DataFrame, **options) -> DataFrame:
     """Names and sequences of the longest frames: head, seq. Forward ones are cut from the sequence as read, others from its normalized reverse complement."""
     o = OrfOptions(**options)
     found = _frames(df, o, True)
-    source = F.when(F.col("strand") == "+", F.col("seq")).otherwise(F.col("norm"))
+    source = F.when(F.col("strand") == "+", F.col("seq")).otherwise(exprs.revcomp(F.col("norm")))
     return found.select(_named(found).alias("head"), exprs.orf_seq(source, F.col("orf.start"), F.col("orf.length"), o.include_stop).alias("seq"))
 
 

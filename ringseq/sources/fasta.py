@@ -1,8 +1,10 @@
 """FASTA as a Spark data source and as single files, in plain, gzip, bzip2, xz or zstd form.
 
-Reading tells the form by the first bytes of a file, not by its name. Plain files are split between tasks by byte ranges;
-a record belongs to the range where its '>' stands. ord is that place, in the uncompressed bytes, so (file, ord) is the
-input order. Files are opened by pyarrow: local paths and the stores it knows.
+Reading tells the form by the first bytes of a file, not by its name; tasks look at them, the driver only lists names. Files
+without the name of a compressed one are split between tasks by byte ranges, and a record belongs to the range where its '>'
+stands; the first range of one that is compressed nevertheless reads it whole. ord is that place, in the uncompressed bytes,
+so (file, ord) is the input order. Rows travel in Arrow batches. Files are opened by pyarrow: local paths and the stores it
+knows.
 """
 
 from __future__ import annotations
@@ -14,13 +16,14 @@ import io
 import lzma
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ringseq.deploy import ship
@@ -31,6 +34,8 @@ SCHEMA = "file string, ord bigint, head string, raw_seq string, seq string"
 MAGIC = {b"\x1f\x8b": "gz", b"BZh": "bz2", b"\xfd7zXZ\x00": "xz", b"\x28\xb5\x2f\xfd": "zst"}
 LEVELS = {"gz": 6, "bz2": 9, "xz": 6, "zst": 1}
 SPLIT_BYTES = 64 << 20
+#: Characters and rows of a batch.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 8192
 
 
 def _store(path: str):
@@ -46,7 +51,7 @@ def _store(path: str):
 
 
 def _files(path: str) -> list[tuple[str, int]]:
-    """Files at or below a path, or matching a pattern of names, with their sizes; those that begin with '.' or '_' don't count."""
+    """Files at or below a path, or matching a pattern of names, with their sizes; names that begin with '.' or '_' don't count."""
     from fnmatch import fnmatch
 
     from pyarrow import fs
@@ -59,8 +64,9 @@ def _files(path: str) -> list[tuple[str, int]]:
     base, pattern = (inner, "*") if info.type == fs.FileType.Directory else inner.rsplit("/", 1)
     if info.type == fs.FileType.NotFound and not any(c in pattern for c in "*?["):
         raise FileNotFoundError(f"No such file or directory: {path}")
-    found = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
-    return sorted((scheme + x.path, x.size) for x in found if x.type == fs.FileType.File and fnmatch(x.base_name, pattern) and x.base_name[0] not in "._")
+    found = store.get_file_info(fs.FileSelector(base, allow_not_found=True, recursive=info.type == fs.FileType.Directory))
+    hidden = lambda x: any(name[:1] in (".", "_") for name in x.path[len(base) :].split("/"))
+    return sorted((scheme + x.path, x.size) for x in found if x.type == fs.FileType.File and fnmatch(x.base_name, pattern) and not hidden(x))
 
 
 def form_of(start: bytes) -> str:
@@ -128,12 +134,51 @@ def _record(place: int, head: bytes, body: list[bytes]) -> tuple[int, str, str,
     return place, head.decode(), b"\n".join(body).decode(), b"".join(body).decode()
 
 
+def batches(found: Iterable[tuple[int, str, str, str]], path: str) -> Iterator[pa.RecordBatch]:
+    """Records as batches of the schema."""
+    rows, held = [], 0
+    give = lambda: pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.string()] * 3)))], ["file", "ord", "head", "raw_seq", "seq"])
+    for row in found:
+        rows.append(row)
+        held += len(row[2]) + len(row[3])
+        if held > BATCH_BYTES or len(rows) >= BATCH_ROWS:
+            yield give()
+            rows, held = [], 0
+    if rows:
+        yield give()
+
+
 @dataclass
 class Range(InputPartition):
     path: str
     start: int
     end: int
-    form: str
+
+
+def read_range(part: Range) -> Iterator[pa.RecordBatch]:
+    """The records that begin in a range of a plain file; all of a compressed one, for the range at its start."""
+    store, inner = _store(part.path)
+    with store.open_input_file(inner) as raw:
+        form = form_of(raw.read(6))
+        raw.seek(0)
+        if form:
+            if not part.start:
+                yield from batches(records(io.BufferedReader(_Raw(decoded(raw, form)))), part.path)
+            return
+        at = max(0, part.start - 1)
+        raw.seek(at)
+        file = io.BufferedReader(_Raw(raw), 1 << 20)
+        if not part.start:
+            yield from batches(records(file, 0, part.end), part.path)
+            return
+        # on to the first line that begins in this range, and there to a record
+        at += len(file.readline())
+        line = file.readline()
+        while line and not line.startswith(b">"):
+            at += len(line)
+            line = file.readline()
+        if line and at < part.end:
+            yield from batches(records(_chain(line, file), at, part.end), part.path)
 
 
 class _Reader(DataSourceReader):
@@ -143,37 +188,12 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[Range]:
         out = []
         for path, size in _files(self.path):
-            store, inner = _store(path)
-            with store.open_input_stream(inner, compression=None) as f:
-                form = form_of(f.read(6))
-            step = max(1, self.split) if not form else max(1, size)
-            out += [Range(path, i, min(size, i + step), form) for i in range(0, size, step)]
-        return out or [Range("", 0, 0, "")]
-
-    def read(self, part: Range) -> Iterator[tuple]:
-        if not part.path:
-            return
-        store, inner = _store(part.path)
-        with store.open_input_file(inner) as raw:
-            if part.form:
-                found = records(io.BufferedReader(_Raw(decoded(raw, part.form))))
-            else:
-                at = max(0, part.start - 1)
-                raw.seek(at)
-                file = io.BufferedReader(_Raw(raw), 1 << 20)
-                if part.start:  # on to the first line that begins in this range, and there to a record
-                    at += len(file.readline())
-                    line = file.readline()
-                    while line and not line.startswith(b">"):
-                        at += len(line)
-                        line = file.readline()
-                    if not line or at >= part.end:
-                        return
-                    found = records(_chain(line, file), at, part.end)
-                else:
-                    found = records(file, 0, part.end)
-            for place, head, raw_seq, seq in found:
-                yield part.path, place, head, raw_seq, seq
+            step = max(1, size) if form_of_name(path) else max(1, self.split)
+            out += [Range(path, i, min(size, i + step)) for i in range(0, size, step)]
+        return out or [Range("", 0, 0)]
+
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        return read_range(part) if part.path else iter(())
 
 
 def _chain(first: bytes, rest: BinaryIO) -> Iterator[bytes]:
@@ -202,27 +222,29 @@ class _Done(WriterCommitMessage):
     path: str
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
+    """Tasks write to a hidden folder of the job; commit moves their files up, and the folder goes with all that failed tasks left."""
+
     def __init__(self, options: dict, names: list[str], overwrite: bool):
-        self.path, self.form, self.overwrite = options["path"], options.get("compression", ""), overwrite
+        self.path, self.form, self.overwrite, self.job = options["path"], options.get("compression", ""), overwrite, f".job-{uuid.uuid4().hex}"
         self.head, self.seq = names.index("head"), names.index("seq")
 
-    def write(self, rows: Iterator) -> _Done:
+    def write(self, rows: Iterator[pa.RecordBatch]) -> _Done:
         from pyspark import TaskContext
 
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.fasta" + (f".{self.form}" if self.form else "")
         store, inner = _store(self.path)
-        store.create_dir(inner, recursive=True)
-        hidden = f"{inner}/.{name}"
+        store.create_dir(f"{inner}/{self.job}", recursive=True)
+        hidden = f"{inner}/{self.job}/{name}"
         with store.open_output_stream(hidden, compression=None) as raw:
-            _put(raw, self.form, ((r[self.head], r[self.seq]) for r in rows))
+            _put(raw, self.form, (r for b in rows for r in zip(b.column(self.head).to_pylist(), b.column(self.seq).to_pylist())))
         return _Done(hidden, f"{inner}/{name}")
 
     def commit(self, messages: list[_Done]) -> None:
         from pyarrow import fs
 
         store, inner = _store(self.path)
-        store.create_dir(inner, recursive=True)
+        store.create_dir(f"{inner}/{self.job}", recursive=True)
         if self.overwrite:
             for x in store.get_file_info(fs.FileSelector(inner)):
                 if x.type == fs.FileType.File and x.base_name.startswith("part-"):
@@ -230,18 +252,20 @@ class _Writer(DataSourceWriter):
         for m in messages:
             if m:
                 store.move(m.open_path, m.path)
+        store.delete_dir(f"{inner}/{self.job}")
 
     def abort(self, messages: list[_Done]) -> None:
-        store, _ = _store(self.path)
-        for m in messages:
-            if m:
-                store.delete_file(m.open_path)
+        from pyarrow import fs
+
+        store, inner = _store(self.path)
+        if store.get_file_info(f"{inner}/{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{inner}/{self.job}")
 
 
 def _put(raw: BinaryIO, form: str, rows: Iterator[tuple[str, str]]) -> None:
     out = encoded(raw, form)
     for head, seq in rows:
-        out.write(f">{head}\n{seq}\n".encode())
+        out.write(f">{head or ''}\n{seq or ''}\n".encode())
     if out is not raw:
         out.close()
 

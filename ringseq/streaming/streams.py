@@ -7,24 +7,35 @@ sequences.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ringseq.deploy import ship
 from ringseq.functions import exprs, udfs
+from ringseq.sources import fasta
 
 
 def read_fasta_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """head, id, raw_seq, seq of the FASTA files that come to a folder: plain, or compressed in a form that Spark knows by its suffix."""
-    reader = spark.readStream.option("lineSep", "\n>")
+    """file, ord, head, id, raw_seq, seq of the FASTA files that come to a folder, plain or compressed, told by content.
+
+    Spark follows the names that arrive; tasks open the files.
+    """
+    ship(spark)
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    text = F.regexp_replace("value", "^>", "")
-    parts = F.split(text, "\r?\n", 2)
-    body = F.rtrim(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), F.lit("\r\n"))
-    rows = reader.text(folder).where(F.trim("value") != "")
-    return rows.select(parts[0].alias("head"), exprs.fasta_id(parts[0]).alias("id"), body.alias("raw_seq"), F.regexp_replace(body, "[\r\n]", "").alias("seq"))
+
+    def read(names: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in names:
+            for path, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield from fasta.read_range(fasta.Range(path, 0, size))
+
+    rows = reader.load(folder).select("path", "length").where("length > 0").mapInArrow(read, fasta.SCHEMA)
+    return rows.select("file", "ord", "head", exprs.fasta_id(F.col("head")).alias("id"), "raw_seq", "seq")
 
 
 def uniq_stream(df: DataFrame, canonicalize: bool = False) -> DataFrame:

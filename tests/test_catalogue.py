@@ -1,7 +1,10 @@
 """Named queries against their SQL in DuckDB, and those without SQL against plain definitions."""
 
+import random
+
 import duckdb
 import pytest
+from test_kernels import walked
 
 from ringseq.functions import kernels
 from ringseq.plans import catalogue
@@ -30,9 +33,11 @@ def test_as_in_sql(spark, duck, name):
 
 
 def test_documents_without_sql(spark, tmp_path):
-    texts = ["ACGTTGCA" * 5, "TGCAACGT" * 5, "acguugca" * 5, "GATTACA and cat", None, "", "xyz", "ATGCCCTAA" * 12]
+    letters = "".join(random.Random(1).choices("ACGTUNacgtun  xyz,.\n", k=6000))  # long ones, whole
+    texts = [letters, letters[2500:] + letters[:2500], letters[:4001], letters[:3000] + letters[:200], "ACGTTGCA" * 5, "TGCAACGT" * 5, "acguugca" * 5, "GATTACA and cat", None, "", "xyz", "ATGCCCTAA" * 12]
     spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(texts) == 12
     letters = [None if t is None else "".join(c for c in t if c in "ACGTUNacgtun") for t in texts]
     norm = [None if s is None else "".join({"a": "A", "c": "C", "g": "G", "t": "T", "u": "T", "U": "T"}.get(c, c if c in "ACGT" else "N") for c in s) for s in letters]
     naive = lambda s: min(s[i:] + s[:i] for i in range(len(s))) if s else s
@@ -47,5 +52,13 @@ def test_documents_without_sql(spark, tmp_path):
         if s is not None:
             end = kernels.Monomerizer(10, 1).end(s.encode()) if len(s) >= 10 else None
             assert ends[f"d{i} en"] == (len(s), len(s) if end is None else end)
-    frames = {r["orf_id"]: r["length"] for r in run("orfs_documents")}
-    assert all(n >= 30 for n in frames.values())
+    want = []
+    for i, s in enumerate(norm):
+        for back in (False, True) if s else ():
+            seq, best = kernels.revcomp(s.encode()).decode() if back else s, {}
+            for start, stop, wraps, length in walked(seq, ("ATG",), ("TAA", "TAG", "TGA")):
+                if stop >= 0 and length - 3 >= 30:
+                    best[stop] = max(best.get(stop, (0,)), (length, start % 3, start, wraps))
+            turned = lambda x: len(seq) - 1 - x if back else x  # noqa: B023, E731
+            want += [(f"d{i} en_{'RC_' * back}ORF{start}", f"d{i} en", turned(start), turned(stop), length - 3, wraps, length / len(seq)) for stop, (length, _, start, wraps) in best.items()]
+    assert sorted(map(tuple, run("orfs_documents"))) == sorted(want) and len(want) > 20

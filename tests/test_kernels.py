@@ -1,10 +1,12 @@
 """Kernels against plain definitions, and known vectors."""
 
+from unittest import mock
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ringseq.functions import kernels
+from ringseq.functions import frames, kernels
 from ringseq.functions.kernels import Monomerizer, canonicalize, find_orfs, lmsr, lmsr_index, longest_orfs, revcomp
 
 dna = lambda a, b: st.text("ACGT", min_size=a, max_size=b).map(str.encode)
@@ -40,6 +42,7 @@ ORFS = [
     ("AAAATGCCCCCCCCCTAA", 3, 15, 0, 15), ("GCATAAGCAATG", 9, 3, 1, 9), ("AATGAAAAAAAAATA", 1, 13, 1, 15), ("GCATAAGATG", 7, 3, 1, 9),
     ("GCATAAGCATG", 8, 3, 1, 9), ("ATGAAAAAAAAATA", 0, 12, 1, 15), ("ATGAAAAAAAAAA", 0, 1, 2, 30), ("AATGCATAAAA", 1, 6, 2, 30),
     ("ACATACGCATG", 8, 9, 2, 15), ("AATGCAAAAAAATA", 1, 12, 3, 42), ("AAATGGCATACT", 2, 11, 1, 12), ("ATGGCATA", 0, 6, 1, 9),
+    ("GGTCGGAGAATTGGGTCAGTTTCGGGCTTAAAAACTCTGACTTGTCATGCTCGTGGCGTCCCTACCG", 46, 28, 3, 186),
 ]
 
 
@@ -70,6 +73,57 @@ def walked(seq, starts, stops):
     return out
 
 
+# Sequences on which frames were once found wrong (fixed values).
+REGRESSIONS = [
+    "ATGGCGTACAGAGTACTAGTAGACCCGGCACGCTTGGTACCCGACAGTAAGAGCCTTGTATTGCGGTAAGTCTACAGCGGGTGGGGCCTAAAACATGGGTATGTGCGCTTGTGAGGGAATACCGAATAGATCTTCGTATCTGGGATGCGTTAATATAGACTTTAGCTCCGCTCAGGCCAGTGGGAAATATTAGCACCGGGCCCACCGCGGAACCGGTCTTTTGCGGACTGCTGAACCGCACACACTGTCTAATGA",
+    "ATGAAGAACGTAAATTCTGGGCTTTTCTAGTTGTGATAATATATGGGGACGAGTGTACCTCTCGACGTAGATTAGTCGATCCACTAACAGACCTTGTGCGTTATGGGTCAAACAATATATGGGCGGACCCTGCCTGTTTAGGTTTCCCGATGA",
+    "TGTCGGAGAATTGGGTCAGTTTCGGGCTTAAAAACTCTGACTTGTCATGCTCGTGGCGTCCCTA",
+    "ATGTGCCCACATTCCATTCTCAGGCCTCCTCATGG",
+    "",
+    "TATAGGCAGTGTCCGTTCTGTTCTCCGACAGTATAACAAGACTCTTATATTTGAAAGGGCAGGTTCCCGACAACGTGGACTAGCGCGAGAATTTTGCCTAATCGTGATAGTAGGGATCGGCGTATGACACAACTGCGAGTGAAGCAATGAAGGTGAGTTTTGGTCTGCCAGCTGAATCAATCTCTATCAAACCTGTGCCACGCTA",
+    "ATGAAACCATGTGAAGACTAAGAGGGGGGGATATGGAAACATCGACTGA",
+    "AATGAGTT",
+    "TTACTAAGTAAATGA",
+    "GATGCGTCTGTTGATTCCTTTGCACACCTA",
+    "ACTTGAATTTTGAATACGAGGCGCCTTCCGTGGAGCGGGCGTCCGTATAACGCTCCATCCCGGTCACTTATCGTGGTGGATTATGCGCTACCTAACTCATCTAGCTAGCACGACGGCAGTCTGCCCGGTAGCCAATGGCCTTAGCGCTCGATAGCTGCAGACGAGGGCTCCTGGTAAATCAATGCATATGGCTATAGAAACTTGCACTAAGTCGCCTTG",
+    "CACTGAAGGGTACACAGGGAAGGTATCCCTACGTAGGGGATTTCACCACACCTATAGCATGATGCCGTGGCTTGCCTAG",
+]
+
+
+@pytest.mark.parametrize("seq", REGRESSIONS)
+def test_frames_of_former_faults(seq):
+    assert find_orfs(seq.encode()).tolist() == (walked(seq, ("ATG",), ("TAA", "TAG", "TGA")) if seq else [])
+
+
+CODONS = [(("ATG",), ("TAA", "TAG", "TGA")), (("ATG", "TAA"), ("TAA", "TAG")), (("ATG", "CTG", "TTG"), ("TAA", "CTG", "atg", "TA"))]
+
+
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(st.one_of(st.none(), st.text("ATG", max_size=30), st.text("ACGTN-", max_size=70), st.sampled_from(REGRESSIONS)), max_size=8),
+    st.sampled_from(CODONS), st.booleans(), st.sampled_from([(-3, False, 0, 3, 0.0), (6, True, 0, 0, 0.0), (0, False, 1, 3, 0.5)]), st.sampled_from([10, 1 << 20]),
+)
+def test_frames_of_a_batch(seqs, codons, longest, limits, bases):
+    """Both strands of all sequences at once give what the kernel gives for each."""
+    import pyarrow as pa
+
+    least, stop, low, high, ratio = limits
+    table = pa.array(["ATG", *seqs], pa.string()).slice(1)
+    with mock.patch.object(frames, "BASES", bases):
+        got = frames.frames(table, *codons, strands="+-", longest=longest, min_length=least, stop_required=stop, min_wraps=low, max_wraps=high, min_ratio=ratio).to_pylist()
+        places = frames.places(table, *codons).to_pylist()
+    assert len(got) == len(places) == len(seqs)
+    for seq, own, place in zip(seqs, got, places):
+        want = []
+        for back in (False, True):
+            s = revcomp((seq or "").encode()) if back else (seq or "").encode()
+            o = find_orfs(s, *codons)
+            keep = (o[:, 3] - 3 >= least) & (o[:, 2] >= low) & (o[:, 2] <= high) & (o[:, 3] >= ratio * len(s)) & ((o[:, 1] >= 0) | (not stop))
+            want += [(back, a, None if b < 0 else b, w, n) for a, b, w, n in (longest_orfs(o[keep]) if longest else o[keep]).tolist()]
+        assert sorted(str(tuple(x.values())) for x in own) == sorted(map(str, want))
+        assert [place["starts"], place["stops"]] == [x.tolist() for x in kernels.codon_positions((seq or "").encode(), *codons)]
+
+
 @settings(max_examples=300)
 @given(st.text("ATGC", min_size=3, max_size=40), st.sampled_from([(("ATG",), ("TAA", "TAG", "TGA")), (("ATG", "TAA"), ("TAA", "TAG")), (("ATG", "CTG", "TTG"), ("TAA", "atg", "TA"))]))
 def test_frames_as_walked(seq, codons):

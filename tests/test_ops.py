@@ -1,8 +1,14 @@
 """Operators on DataFrames: known pairs, partitions, options, SQL, streams, command line."""
 
+import gzip
 import io
+import os
+import random
+import subprocess
+import sys
 
 import pytest
+from conftest import ROOT
 
 from ringseq import cli
 from ringseq.functions import exprs, kernels, sql
@@ -86,6 +92,93 @@ def test_orfs(spark):
         ops.orfs(df, strand="up")
 
 
+def test_uniq_lists_what_it_removes(spark):
+    """Equal records, and records without a place of their own."""
+    rows = [("a x", "GATTACAC"), ("a x", "GATTACAC"), ("a x", "ATTACACG"), ("b", "AAAA"), ("c", None), ("c", None)]
+    df = spark.createDataFrame(rows, "head string, seq string")
+    assert sorted(map(tuple, ops.uniq_table(df.repartition(3)).collect())) == [("a", "a"), ("a", "a"), ("c", "c")]
+    assert got(ops.uniq(df.repartition(3))) == {"a x": "ATTACACG", "b": "AAAA", "c": None}  # of equal heads, the least sequence
+    kept, table = ops.uniq_and_table(df, canonicalize=True)
+    assert kept.columns == df.columns and kept.count() + table.count() == len(rows)
+    assert got(kept)["a x"] == kernels.canonicalize(b"GATTACAC").decode()
+    plan = ops.uniq_table(df)._jdf.queryExecution().toString()
+    assert "ArrowEval" not in plan  # the kernel has run once, before
+
+
+def test_known_commands(spark, tmp_path):
+    """Cases of the command line: a blank line in a body, turns longer than a record, overlaps at their limits."""
+    def run(records, *args):
+        (tmp_path / "in.fa").write_text("".join(f">{h}\n{s}\n" for h, s in records))
+        assert cli.main([args[0], str(tmp_path / "in.fa"), *args[1:], "-o", str(tmp_path / "out.fa")]) == 0
+        return got(fasta.read_fasta(spark, str(tmp_path / "out.fa")))
+
+    a = "ACGTTGCATTAGCCNA"
+    assert run([("a", f"{a[:7]}\n\n{a[7:]}"), ("b c", "A")], "cat") == {"a": a + a, "b c": "AA"}
+    assert run([("a", f"{a[:5]}\n{a[5:]}{a[:9]}\n\n{a[9:]}\n"), ("b", "ACG")], "decat") == {"a": a, "b": "A"}
+    short = [("a", a), ("four", "ACGT"), ("five", "AACGT")]
+    assert run(short, "rotate", "--bases", "5") == {"a": a[-5:] + a[:-5], "four": "TACG", "five": "AACGT"}
+    assert run(short, "rotate", "--bases", "-5") == {"a": a[5:] + a[:5], "four": "CGTA", "five": "AACGT"}
+    assert run(short, "rotate", "--percent", "0.25") == {"a": a[-4:] + a[:-4], "four": "TACG", "five": "TAACG"}
+    assert run(short, "rotate", "--percent", "0.5") == {"a": a[-8:] + a[:-8], "four": "GTAC", "five": "GTAAC"}
+    r = random.Random(4)
+    m80, m81, m260 = ("".join(r.choices("ACGT", k=n)) for n in (80, 81, 260))
+    many = [("w", m260 * 2), ("x", m80 * 2), ("y", m81 * 2)]
+    assert run(many, "monomerize", "--min-overlap", "81") == {"w": m260, "y": m81}
+    many = [("w", m260 * 2), ("three", m80 * 3), ("two", m80 * 2), ("half", m80 + m80[:40]), ("more", m80 + m80[:41]), ("none", "".join(r.choices("ACGT", k=100)))]
+    assert run(many, "monomerize", "--min-overlap-percent", "0.51") == {"w": m260, "three": m80, "two": m80, "more": m80}
+    assert run(many, "monomerize", "--min-overlap-percent", "1.0") == {"w": m260, "three": m80, "two": m80}
+    assert run(many, "monomerize", "--min-overlap-percent", "1.5") == {"three": m80}
+    turned = [("a x", "GATTACAC"), ("b", "ACGATTAC"), ("c", "gauuacac"), ("d", "GUGUAAUC"), ("e", "gtgtaatc")]
+    form = kernels.canonicalize(b"GATTACAC").decode()
+    assert run(turned, "canonicalize") == dict.fromkeys(("a x", "b", "c", "d", "e"), form)
+    assert run(turned, "uniq", "-c") == {"a x": form} and run(turned, "uniq", "--canon") == {"a x": form}
+    frame = [("a", "AAAATGCCCCCCCCCTAA")]
+    assert run(frame, "orfs", "-m", "0", "--strand", "reverse") == {}
+    assert run(frame, "orfs", "-m", "0", "--strand", "reverse", "--reference-compat") == {"a_ORF3": "ATGCCCCCCCCC"}
+
+
+def test_standard_input_and_output(tmp_path):
+    """A process of its own, away from the repository: FASTA in a pipe, records out, and nothing else; also compressed input."""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": str(ROOT)}
+    run = lambda data, *args: subprocess.run([sys.executable, "-m", "ringseq.cli", *args], input=data, capture_output=True, cwd=tmp_path, env=env)
+    done = run(gzip.compress(b">a b\nAC\nGT\n>c\nTT\n"), "cat", "-t", "2", "-q")
+    assert (done.returncode, done.stdout) == (0, b">a b\nACGTACGT\n>c\nTTTT\n")
+    assert run(b"", "cat", "-t", "0").returncode == 2
+    bad = run(b"ACGT\n", "decat", "-v", "--threads", "1")
+    assert bad.returncode == 1 and bad.stdout == b"" and b"expected '>'" in bad.stderr
+
+
+@pytest.mark.parametrize("form", ["", "gz", "bz2", "xz", "zst"])
+def test_streams_tell_forms_by_content(spark, tmp_path, form):
+    (tmp_path / "in/deep").mkdir(parents=True)
+    with open(tmp_path / "in/a.data", "wb") as raw:
+        out = fasta.encoded(raw, form)
+        out.write(FASTA)
+        if out is not raw:
+            out.close()
+    stream = streams.read_fasta_stream(spark, str(tmp_path / "in"))
+    name = f"told_{form or 'plain'}"
+    q = stream.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [tuple(r) for r in spark.table(name).orderBy("ord").select("head", "id", "seq").collect()] == READ
+
+
+def test_fasta_files_below_folders(spark, tmp_path):
+    """Hidden names don't count; a compressed file without the name of one is read once, however it is split; a failed job leaves nothing."""
+    (tmp_path / "in/deep/.hidden").mkdir(parents=True)
+    (tmp_path / "in/a.fa").write_text(">a\nAC\n")
+    (tmp_path / "in/deep/b.fa").write_bytes(gzip.compress(b">b\n" + b"ACGT" * 5000 + b"\n>c\nA\n"))
+    (tmp_path / "in/deep/.hidden/c.fa").write_text(">no\nA\n")
+    (tmp_path / "in/_d.fa").write_text(">no\nA\n")
+    fasta.register(spark)
+    rows = spark.read.format("fasta").option("splitbytes", 7).load(str(tmp_path / "in")).collect()
+    assert sorted((r["head"], len(r["seq"])) for r in rows) == [("a", 2), ("b", 20000), ("c", 1)]
+    bad = spark.range(4, numPartitions=4).selectExpr("string(id) head", "if(id = 3, raise_error('no'), 'ACGT') seq")
+    with pytest.raises(Exception, match="no"):
+        bad.write.format("fasta").mode("append").save(str(tmp_path / "out"))
+    assert not [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
+
+
 def test_sql_names(spark):
     sql.register(spark)
     row = spark.sql("SELECT revcomp('AACg') a, normalize_dna('ac gu~R') b, rotate_bases('ACGT', -1) c, rotate_percent('ACGT', 0.5D) d, cat_seq('AC') e, decat_seq('ACG') f, lmsr('TAA') g, lmsr_index('TAA') h, canonicalize_dna('ATT') i, monomer_end('ATGCATGC', 4, 0) j, fasta_id('a b') k").first()
