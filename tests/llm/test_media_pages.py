@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ringseq.llm import chat, dom, egojoin, extraction, media, queries, warc
+from ringseq.llm import chat, dom, egojoin, extraction, layouts, media, queries, warc
 
 # archives
 
@@ -19,9 +20,8 @@ from ringseq.llm import chat, dom, egojoin, extraction, media, queries, warc
 def test_chunks(payload, size):
     buf = io.BytesIO()
     digest = hashlib.sha1(payload).hexdigest()
-    for _ in range(2):
-        warc.write_record(buf, 7, "http://x/\r\n%", payload, digest, len(payload), None, slice_bytes=100)
-    warc.write_record(buf, 8, None, b"", digest, len(payload), 7)
+    own = [("7", "http://x/\r\n%", digest, len(payload), None, k, memoryview(payload)[i : i + 100]) for k, i in enumerate(range(0, max(1, len(payload)), 100))]
+    assert warc.write_records(buf, [*own, *own, ("8", None, digest, len(payload), "7", 0, memoryview(b""))], packed=False) == 3
     buf.seek(0)
     rows = list(warc.chunks_of(buf, size))
     for k in (0, 1):
@@ -34,11 +34,45 @@ def test_chunks(payload, size):
 
 def test_damaged_archive():
     buf = io.BytesIO()
-    warc.write_record(buf, 1, "u", b"x" * 100, "d", 100, None)
+    row = lambda data, n=100, chunk=0, digest="": ("1", "u", digest, n, None, chunk, memoryview(data))
+    warc.write_records(buf, [row(b"x" * 100)], packed=False)
     with pytest.raises(EOFError):
         list(warc.chunks_of(io.BytesIO(buf.getvalue()[:-60]), 10))
     with pytest.raises(ValueError):
         list(warc.chunks_of(io.BytesIO(b"junk\r\n" + buf.getvalue()), 10))
+    for bad in ([row(b"x" * 99)], [row(b"x" * 101)], [row(b"x" * 50), row(b"x" * 50, chunk=2)]):
+        with pytest.raises(ValueError):
+            warc.write_records(io.BytesIO(), bad)
+    other = io.BytesIO()
+    warc.write_records(other, [row(b"x" * 100, digest=hashlib.sha1(b"y").hexdigest())], packed=False)
+    other.seek(0)
+    with pytest.raises(ValueError, match="digest"):
+        list(warc.chunks_of(other, 10))
+
+
+def test_a_record_of_300_mb_in_chunks(spark):
+    """Written and read as rows of chunks; no worker grows by more than a few of them."""
+    data, n = b"0123456789abcdef" * 65536, 300
+    digest = hashlib.sha1()
+    for _ in range(n):
+        digest.update(data)
+    one = spark.range(n).selectExpr("'big' record_id", "'u' uri", f"'{digest.hexdigest()}' digest", f"{n << 20}L bytes", "cast(null as string) refers_to", "int(id) chunk", "encode(repeat('0123456789abcdef', 65536), 'UTF-8') data")
+    chunks = warc.read(spark, warc.write_chunks(one), chunk_bytes=1 << 20)
+
+    def grown(batches):
+        import resource
+
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"chunk": b.column(0), "n": pc.binary_length(b.column(1)), "same": [x.as_py() == data for x in b.column(1)], "mb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024] * b.num_rows})
+
+    import pyarrow.compute as pc
+
+    got = chunks.select("chunk", "data").mapInArrow(grown, "chunk int, n int, same boolean, mb long").collect()
+    assert sorted((r["chunk"], r["n"], r["same"]) for r in got) == [(i, 1 << 20, True) for i in range(n)]
+    assert max(r["mb"] for r in got) < 350
+    assert chunks.where("last").select("bytes_so_far", "digest_so_far").collect() == [(n << 20, digest.hexdigest())]
 
 
 def test_archive_query(spark, tmp_path):
@@ -96,6 +130,65 @@ def test_damage_and_resynchronization():
     assert media.parse(v1).tags["TIT2"] == "name" and media.parse(v1).skipped == 0
 
 
+def plain_checksum(bits):
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1 ^ 0x8005 * ((c >> 15) ^ b)) & 0xFFFF
+    return c
+
+
+def test_checksums_of_layers():
+    """Layer I: the allocation of all bands; Layer II: that, and two bits for each band with samples."""
+    rng = np.random.default_rng(5)
+    bits_of = lambda raw: [x >> 7 - i & 1 for x in raw for i in range(8)]
+    for word, bits in ((0xFFFEB0C0, 128), (0xFFFEB000, 256), (0xFFFEB050, 4 * (32 + 8))):
+        h = media.header(word)
+        assert h.layer == 1 and h.checked
+        for fault in (0, 1):
+            rest = rng.integers(0, 256, h.length - 6, np.uint8).tobytes()
+            head = word.to_bytes(4, "big")
+            frame = head + plain_checksum(bits_of(head[2:]) + bits_of(rest)[:bits]).to_bytes(2, "big") + rest
+            frame = frame[:-fault or None] + b"?" * fault if not fault else frame[:7] + bytes([frame[7] ^ 1]) + frame[8:]
+            x = media.parse(frame * 3)
+            assert (x.checked, x.failed, len(x.offsets)) == (3, 3 * fault, 3)
+    word = 0xFFFCA4C0  # Layer II, 160 kbit/s, 48 kHz, mono: 27 bands of 4, 3 and 2 bits
+    h = media.header(word)
+    sizes = [4] * 11 + [3] * 12 + [2] * 4
+    rest = rng.integers(0, 256, h.length - 6, np.uint8).tobytes()
+    raw, at, used = bits_of(rest), 0, 0
+    for n in sizes:
+        used += any(raw[at : at + n])
+        at += n
+    head = word.to_bytes(4, "big")
+    frame = head + plain_checksum(bits_of(head[2:]) + raw[: at + 2 * used]).to_bytes(2, "big") + rest
+    assert h.layer == 2 and media.checked_bits(h, rest) == at + 2 * used
+    x = media.parse(frame * 2)
+    assert (x.checked, x.failed) == (2, 0) and media.parse((frame[:6] + bytes([frame[6] ^ 0x80]) + frame[7:]) * 2).failed == 2
+
+
+def test_tags_and_tables():
+    seven = lambda n: bytes(n >> s & 127 for s in (21, 14, 7, 0))
+    audio = media.carry(b"z" * 1920, 1920)
+    audio = audio[audio.index(b"\xff\xfb") :]
+    plain = b"TT2\0\0\5\0name" + b"TXX\0\0\5\0k\0vv"
+    two = b"ID3\2\0\0" + seven(len(plain)) + plain
+    body = b"TIT2\0\0\0\4\0\0\0a\xff\xe0"
+    three = b"ID3\3\0\xc0" + seven(len(e := (b"\0\0\0\6" + bytes(6) + body).replace(b"\xff", b"\xff\0"))) + e
+    inner = b"\0b\xff\0c"
+    four = b"ID3\4\0\x40" + seven(len(f := seven(6) + b"\1\0" + b"TIT2" + seven(len(inner) + 4) + b"\0\3" + seven(4) + inner)) + f
+    assert media.parse(two + audio).tags == {"TT2": "name", "k": "vv"}
+    assert media.parse(three + audio).tags == {"TIT2": "a\xff\xe0"} and media.parse(four + audio).tags == {"TIT2": "b\xffc"}
+    x = media.parse(three + audio)
+    assert x.skipped == 0 and len(x.seek) == 100 and x.seek[0] == len(three) and sorted(x.seek) == x.seek
+    frame = media._frame_header(64, False).ljust(192, b"\0")
+    vbri = frame[:36] + b"VBRI" + bytes([0, 1, 2, 64, 0, 75]) + (960).to_bytes(4, "big") + (4).to_bytes(4, "big") + bytes([0, 4, 0, 2, 0, 2, 0, 1]) + b"".join((96).to_bytes(2, "big") for _ in range(4))
+    x = media.parse(vbri.ljust(192, b"\0") + frame * 4)
+    assert (x.table, x.table_bytes, x.table_frames, x.seek, x.delay) == ("VBRI", 960, 4, [192, 384, 576, 768], 0x240)
+    lame = frame[:21] + b"Info" + (0).to_bytes(4, "big") + b"LAME3.100" + bytes(12) + (576 << 12 | 1100).to_bytes(3, "big")
+    x = media.parse(lame.ljust(192, b"\0") + frame)
+    assert (x.table, x.delay, x.padding, x.samples) == ("Info", 576, 1100, 1152)
+
+
 def test_frame_lengths():
     assert (media.header(0xFFFB9064).length, media.header(0xFFFB9064).rate, media.header(0xFFFB9064).kbps) == (417, 44100, 128)
     assert media.header(0xFFFB9264).length == 418 and media.header(0xFFF39064).samples == 576
@@ -113,6 +206,8 @@ def test_media_query(spark, tmp_path):
         r = next(r for r in got if r["doc_id"] == i)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-16:]))
         assert f"samples={1152 * -(-len(pad) // 768)};" in r["feature"]
+    one = media.parsed(spark.createDataFrame([(media.carry(b"x" * 192, 192), {"a": 1})], "media binary, clash map<string,int>")).first()
+    assert one["clash"] == {"a": 1} and one["audio"]["tags"] == {"payload-bytes": "192"} and len(one["audio"]["seek"]) == 100
     parsed = media.parsed(spark.createDataFrame([(None,)], "media binary")).first()["audio"]
     assert parsed["frames"] == 0 and parsed["offsets"] == []
 
@@ -183,7 +278,9 @@ def test_marginals_on_a_tree():
     rng = np.random.default_rng(2)
     model = extraction.Model(rng.normal(size=extraction.WIDTH), rng.normal(size=(4, 2, 2)))
     nodes = dom.tree("<div class=menu><p>a b c.</p>d</div><article>e</article>")
-    x, parent, levels, kind = extraction.graph([nodes])
+    g = extraction.Graph([nodes])
+    x, parent, kind = np.zeros((g.size, extraction.WIDTH)), g.parent, g.kind
+    x[g.node, g.column] = g.value
     n, total, good, pairs = len(nodes), 0.0, np.zeros(len(nodes)), np.zeros((len(nodes), 2, 2))
     for bits in range(1 << n):
         y = np.array([bits >> i & 1 for i in range(n)])
@@ -192,20 +289,39 @@ def test_marginals_on_a_tree():
         good += p * y
         for i in range(1, n):
             pairs[i, y[parent[i]], y[i]] += p
-    p, pair = model.marginals(x, parent, levels, kind)
+    p, pair = model.marginals(g)
     assert np.allclose(p, good / total) and np.allclose(pair, pairs / total)
+    assert np.allclose(g.scores(model.weights), x @ model.weights) and np.allclose(g.sums(p), p @ x)
 
 
-def test_extraction_of_labelled_pages():
-    model, hit, wrong, missed = extraction.train(300), 0, 0, 0
-    pages = extraction.pages(80, 77)
+@pytest.mark.parametrize("family", [None, *layouts.FAMILIES])
+def test_extraction_of_labelled_pages(family):
+    """Pages of a family that the model has not seen; of all that it has."""
+    model, hit, wrong, missed = extraction.train(without=family), 0, 0, 0
+    pages = layouts.pages(100, 77, only=family)
     for html, got in zip(pages, extraction.main_texts(model, pages)):
         nodes, label = extraction.labels_of(dom.tree(html))
-        want, found = [n.text for n, y in zip(nodes, label) if y and n.text], got.split("\n\n")
+        want, found = [n.text for n, y in zip(nodes, label) if y and n.text], got.split("\n\n") if got else []
         hit += sum(len(t) for t in found if t in want)
         wrong += sum(len(t) for t in found if t not in want)
         missed += sum(len(t) for t in want if t not in found)
-    assert hit / (hit + wrong) > 0.97 and hit / (hit + missed) > 0.93
+    assert hit / (hit + wrong) > 0.9 and hit / (hit + missed) > 0.85
+
+
+@pytest.mark.parametrize("page", ["<!" * 500_000, "<div>" * 100_000 + "x" + "</div>" * 100_000, "<div>" * 100_000 + "</p>" * 100_000, '<a ">" ' * 150_000, "<script>" + "</script " * 100_000, "<svg>" * 200_000, "<ul><li>" * 100_000, "&#" + "9" * 1_000_000 + ";", "<" * 1_000_000, "<p " + "a=\"' " * 200_000])
+def test_hostile_pages_take_linear_time(page):
+    model, began = extraction.train(), time.process_time()
+    extraction.main_texts(model, [page])
+    assert time.process_time() - began < 6  # 2 seconds on an idle core
+
+
+def test_elements_that_are_not_skipped():
+    texts = lambda html: [n.text for n in dom.tree(html) if n.text]
+    assert texts("<p>a <math><mi>x</mi></math> b<noscript>c</noscript><object>d</object>") == ["a x bcd"]
+    assert texts("<p>a<svg><text>no</text></svg>b<svg>c<template>d") == ["abcd"]
+    assert texts("<p>a<svg><text>no") == ["ano"] and texts("<p>a<script>no") == ["a"]
+    assert texts('<p title="a > b">c</p><p title="x>d</p>') == ["c", "d"]
+    assert texts("a &#0000000000065; &#99999999999999; &#x0000000041;") == ["a A � A"]
 
 
 def test_extraction_query(spark, tmp_path):
@@ -241,7 +357,7 @@ def test_similar(spark):
     vectors += [(1000 + i, vectors[i % 5][1]) for i in range(20)] + [(7, vectors[7][1])]
     vectors += [(-1, None), (-2, []), (-3, [0.0] * 8), (-4, [float("nan")] * 8), (-5, [1.0, None] + [0.0] * 6), (-6, [float("inf")] * 8), (-7, [3.0]), (-8, [2.0]), (-9, [-1.0])]
     df = spark.createDataFrame([(i, v, 0, 0, "x") for i, v in vectors], "vec_id long, embedding array<double>, label int, n int, fine string")
-    got = egojoin.similar(df, interval=40)
+    got = egojoin.similar(df, task_bytes=40 * 64)
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == brute(vectors)
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.collect())
     assert egojoin.similar(df.where("false")).count() == 0
@@ -255,9 +371,10 @@ def test_interval_join(seed, dims):
     x = egojoin.unit(rng.normal(size=(700, dims)) + rng.integers(0, 3, (700, 1)))
     t = 0.97
     eps = float(np.sqrt(2 - 2 * t))
-    axes = egojoin.basis(x, min(4, dims))
-    at = egojoin.order(x @ axes, eps)
-    side = egojoin.Side(x[at], (x @ axes)[at])
+    p = egojoin.projected(x, egojoin.basis(x, min(4, dims)))
+    assert np.allclose((p * p).sum(axis=1), 1)
+    at = egojoin.order(p, eps)
+    side = egojoin.Side(x[at], p[at])
     pairs = {(int(at[a]), int(at[b])) for i, j in egojoin.join(side, side, True, t, eps) for a, b in zip(i, j)}
     want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(x @ x.T >= t, 1)))}
     near = {(min(p), max(p)) for p in pairs}

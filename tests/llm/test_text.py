@@ -85,6 +85,11 @@ def test_quality(spark):
     empty = quality.train(d.where("false"), labels.where("false"))
     assert {r["score"] for r in quality.scored(d, empty).collect()} == {0.5}
     assert quality.scored(d.where("false"), field).count() == 0
+    often = quality.train(d.union(d.where("doc_id = 5")).union(d.where("doc_id = 5")), labels)
+    assert np.array_equal(field.weights, often.weights)  # a document that comes again is one
+    bound = quality.train(d, labels, total_lines=16)
+    assert bound.weights.any() and not np.array_equal(field.weights, bound.weights)
+    assert d.select(quality.held_out(F.lit(None).cast("long")).alias("h")).first()["h"] is False
     assert d.select(quality.held_out(F.col("doc_id")).alias("h"), "doc_id").where("doc_id = 7").first()["h"] == (zlib.crc32(b"7") % 5 == 0)
 
 
@@ -127,36 +132,86 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [(1, None, "a"), (2, "", None)]), [1.0]).agg(F.sum("taken")).first()[0] == 0
 
 
-@pytest.mark.parametrize("seed, more", [(2, 64), (3, 64), (4, 64), (5, 64), (6, 64), (7, 64), (4, 4096)])
-def test_mixing_passes_over_a_very_long_document(spark, seed, more):
+def plain_mix(rows, due):
+    """Copies of each document by Pareto's order, drawn one by one: (doc_id, size, source, copies)."""
+    out = []
+    for source in {r["source"] for r in rows}:
+        left = due.get(source, 0.0)
+        for r in sorted((r for r in rows if r["source"] == source), key=lambda r: (r["rank"] is None, r["rank"], r["k"], r["no"])):
+            hit = r["rank"] is not None and r["size"] <= left
+            left -= r["size"] * hit
+            out.append((str(r["doc_id"]), r["size"], source, r["whole"] + hit if r["size"] else 0))
+    return sorted(out, key=str)
+
+
+def mixed(got):
+    return sorted(((str(r["doc_id"]), r["size"], r["source"], r["copies"]) for r in got), key=str)
+
+
+@pytest.mark.parametrize("grid, zone", [(65536, 4096), (64, 8), (4, 1)])
+def test_mixing_is_a_draw_by_rank(spark, grid, zone):
+    big = 2**53 + 1
+    rows = [(big + i, "w " * (20000 if i % 500 == 0 else 1 + i * 7 % 300), "xyz"[i % 3]) for i in range(3000)]
+    rows += [(7, "one row very often, " * 9, "x")] * 400 + [(None, f"null {i} " * (i % 5), "y") for i in range(50)] + [(1, "w " * 400, None)] * 30 + [r for r in ODD if r[0] != 6]
+    d = docs(spark, rows)
+    ranked, due = mixing.ranked(d, [5.0, 2.0, 1.0])
+    ranked = ranked.collect()
+    want = plain_mix(ranked, due)
+    assert mixed(mixing.mix(d, [5.0, 2.0, 1.0], grid=grid, zone=zone).collect()) == want
+    assert mixed(mixing.mix(d.repartition(5), [5.0, 2.0, 1.0], grid=grid, zone=zone).collect()) == want  # reruns agree
+    assert {i for i, *_ in want} == {str(r[0]) for r in rows}  # ids beyond 2 ** 53, beside nulls
+    again = [r["rank"] for r in ranked if r["doc_id"] == 7 and r["size"] == 36]
+    assert len(again) == len(set(again)) == 400 or again[0] is None
+    for s in ("x", "y", "z", None):
+        own = [r for r in ranked if r["source"] == s and r["size"]]
+        words = sum((r["whole"] + r["p"]) * r["size"] for r in own)
+        assert words == pytest.approx(own[0]["target"]) and sum(r["p"] * r["size"] for r in own) == pytest.approx(due[s], abs=1e-6)
+        per = {(r["whole"] + r["p"]) / 2 ** (0.125 * (r["size"].bit_length() - 1)) for r in own if r["whole"] < 3}
+        assert not per or max(per) == pytest.approx(min(per))
+        assert own[0]["whole"] == 3 or len({r["p"] for r in own}) > (s is not None)  # unequal within a source
+
+
+def test_chances_of_a_draw(spark):
+    """Ranks come from even random numbers: those below 1 are about the share p of their class."""
+    d = spark.range(20_000).selectExpr("id as doc_id", "repeat('w ', int(1 + id % 40)) as text", "'a' as source")
+    rows, _ = mixing.ranked(d, [1.0], total=200_000)
+    for r in rows.groupBy("class", "p").agg(F.avg((F.col("rank") <= 1).cast("double")).alias("got"), F.count("*").alias("n")).collect():
+        assert abs(r["got"] - r["p"]) < 5 * math.sqrt(r["p"] * (1 - r["p"]) / r["n"])
+
+
+@pytest.mark.parametrize("seed", [2, 3, 4])
+def test_mixing_passes_over_a_very_long_document(spark, seed):
     sizes = [100_000 if i == 0 else 20 if i % 7 else 1 + i % 50 for i in range(10_000)]
     d = spark.range(10_000).selectExpr("id as doc_id", "repeat('w ', if(id = 0, 100000, if(id % 7 > 0, 20, 1 + int(id % 50)))) as text", "'a' as source")
-    got = mixing.mix(d, [1.0], total=sum(sizes) / 2 + 0.5, seed=seed, more=more).collect()
+    got = mixing.mix(d, [1.0], total=sum(sizes) / 2 + 0.5, seed=seed).collect()
     assert sorted((r["doc_id"], r["size"]) for r in got) == list(enumerate(sizes))
     left = got[0]["target"] - sum(r["taken"] for r in got)
     assert 0 <= left < min([r["size"] for r in got if not r["copies"]])
 
 
-def test_mixing_does_not_depend_on_the_zones(spark):
-    rows = [(i, "w " * (20000 if i % 500 == 0 else 1 + i * 7 % 50), "xyz"[i % 3]) for i in range(6000)]
-    d = docs(spark, rows + [r for r in ODD if r[0] != 6] + [(i, "w " * 400, None) for i in range(7000, 7100)])
-    one, other = (sorted(map(str, mixing.mix(d, [5.0, 2.0, 1.0], more=m).collect())) for m in (1, 10**6))
-    assert one == other
+def test_copies_due():
+    due = mixing.copies_due({0: 10, 3: 100, 8: 1000}, 1500.0, 3.0, 0.125)
+    assert sum(n * due[c] for c, n in {0: 10, 3: 100, 8: 1000}.items()) == pytest.approx(1500) and due[8] / due[0] == pytest.approx(2)
+    assert mixing.copies_due({0: 10, 8: 10}, 59.0, 3.0, 0.125) == pytest.approx({0: 2.9, 8: 3.0})
+    assert mixing.copies_due({2: 5}, 15.0, 3.0, 0.125) == {2: 3.0} and mixing.copies_due({2: 5}, 0.0, 3.0, 0.125) == {2: 0.0}
 
 
 # sharding
 
 
+def check_shards(rows, got, shards):
+    """Slots, sizes and checksums of shards of rows (doc_id, text, source); the sizes of the shards."""
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == sorted((str(i), len(b := (t or "").encode()) + 8, zlib.crc32(b)) for i, t, _ in rows)
+    for s in range(shards):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    return [sum(r["size"] for r in got if r["shard"] == s) for s in range(shards)]
+
+
 def test_sharding(spark):
     rows = ODD[:5] + [(100 + i, f"text {i} " * (1 + i % 9), "a") for i in range(500)] + [(1000 + i, "hot copy", "a") for i in range(400)]
-    got = sharding.shard(docs(spark, rows), shards=4, heavy=4).collect()
-    assert len(got) == len(rows)
-    for s in range(4):
-        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
-    sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(4)]
-    assert max(sizes) < 1.05 * min(sizes)
-    text = dict(zip([r[0] for r in rows], [(r[1] or "").encode() for r in rows]))
-    assert all(r["size"] == len(text[r["doc_id"]]) + 8 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]]) for r in got)
+    got = sharding.shard(docs(spark, rows), shards=4).collect()
+    sizes = check_shards(rows, got, 4)
+    assert max(sizes) < 1.02 * min(sizes)
     small = {}
     for r in got:
         if r["text_crc32"] != zlib.crc32(b"hot copy"):
@@ -165,6 +220,41 @@ def test_sharding(spark):
     assert sharding.shard(docs(spark, ODD).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.2, 0.24])
+def test_a_group_that_fits_a_shard_stays_whole(spark, share):
+    rows = [(i, "a group of its own, eight words of them", "a") for i in range(int(1000 * share))] + [(i, f"text {i}", "a") for i in range(1000 - int(1000 * share))]
+    got = sharding.shard(docs(spark, rows), shards=4, fine=2).collect()
+    check_shards(rows, got, 4)
+    hot = zlib.crc32(rows[0][1].encode())
+    large = sum(r["size"] for r in got if r["text_crc32"] == hot) * 4 > sum(r["size"] for r in got)
+    assert (len({r["shard"] for r in got if r["text_crc32"] == hot}) > 1) == large
+
+
+@pytest.mark.parametrize("doc_id", [None, 2**53 + 1])
+def test_a_large_group_is_split_whatever_its_ids(spark, doc_id):
+    rows = [(doc_id, "same", "a")] * 20_000 + [(i, f"text {i}", "a") for i in range(20_000)]
+    got = sharding.shard(docs(spark, rows).repartition(8)).collect()
+    sizes = check_shards(rows, got, 24)
+    assert max(sizes) < 1.02 * min(sizes)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(*[st.integers(0, 50)] * 3), max_size=40), st.integers(1, 6))
+def test_placing_by_definition(items, shards):
+    """One item at a time, largest share first, where the dot product with the room that is left is highest among shards that have room."""
+    total = [max(1, sum(x[d] for x in items)) for d in range(3)]
+    load = [[x[d] / total[d] for d in range(3)] for x in items]
+    room, want = [[1 / shards] * 3 for _ in range(shards)], {}
+    for i in sorted(range(len(items)), key=lambda i: (-max(load[i]), i)):
+        fit = [s for s in range(shards) if all(room[s][d] >= load[i][d] - 1e-15 for d in range(3))]
+        dot = lambda s: sum(room[s][d] * load[i][d] for d in range(3)) if fit else room[s][0]  # noqa: B023, E731
+        best = max(map(dot, fit or range(shards)))
+        want[i] = [s for s in fit or range(shards) if dot(s) >= best - 1e-12]
+        got = int(sharding.place(np.array(items, float).reshape(-1, 3), shards)[i])
+        assert got in want[i]
+        room[got] = [room[got][d] - load[i][d] for d in range(3)]
+
+
 def test_placing_uses_room():
     items = np.array([[4, 1, 1], [1, 4, 1], [1, 1, 4], [4, 1, 1], [1, 4, 1], [1, 1, 4]], float)
     of = sharding.place(items, 2)
@@ -226,6 +316,28 @@ def test_near_duplicates(spark):
     assert simhash.simhash_components(d.where("false")).count() == 0 and simhash.keep_one(d.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("split_at", [1, 3, 20])
+def test_keys_of_many_fingerprints_are_split(spark, split_at):
+    """Links are the same however often keys are split; three splits use 50 bits at least."""
+    rng = np.random.default_rng(split_at)
+    prints = sorted({int(b) ^ sum(1 << int(x) for x in rng.choice(64, rng.integers(0, 6), replace=False)) for b in rng.integers(0, 2**63, 6) for _ in range(40)})
+    table = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    links = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.link_classes(table, split_at=split_at).collect()]
+    lab = {p: i for i, p in enumerate(prints)}
+    assert all((a ^ b).bit_count() <= 64 for a, b in links)
+    got = simhash._local(len(prints), np.array([lab[a] for a, _ in links]), np.array([lab[b] for _, b in links]))
+    assert got.tolist() == plain_components(prints, 4)
+    used = 0
+    for _ in range(4):
+        used |= min(simhash._bands_of(used, 6, 4), key=int.bit_count)
+    assert used.bit_count() >= 50
+
+
+def test_keeping_one_of_rows_with_maps(spark):
+    d = spark.createDataFrame([(1, "a b c d e", {"x": 1}), (1, "a b c d e", {"x": 1}), (None, "a b c d e", {"y": 2}), (2, "other words of a text", None)], "doc_id long, text string, `odd.name` map<string,int>")
+    assert sorted(map(str, simhash.keep_one(d).collect())) == sorted(map(str, [d.collect()[0], d.collect()[3]]))
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(100 + i, 101 + i) for i in range(30)] + [(7, 7), (None, 3)]
@@ -328,6 +440,24 @@ def test_packing_of_very_long_blanks(spark):
     assert {r["doc_id"]: r["doc_tokens"] for r in got}[1] == 1_000_002 == sum(r["length"] for r in got if r["doc_id"] == 1)
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "\r\n" * 1_000_000 + "x"])
+def test_two_megabytes_of_one_letter(text):
+    from tokenizers import Tokenizer
+
+    assert list(packing.encoder(TOKENIZER)(text)) == Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_very_many_equal_rows(spark):
+    rows = [(2**53 + 1, "the same few words", "a")] * 3000 + [(None, "no id", "a")] * 200 + [(2**53 + 3, "w " * 500, "a")]
+    got = packing.pack(docs(spark, rows).repartition(6), TOKENIZER).collect()
+    again = packing.pack(docs(spark, rows).repartition(3), TOKENIZER).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert sum(r["length"] for r in got if r["doc_id"] == 2**53 + 1) == 3000 * next(r["doc_tokens"] for r in got if r["doc_id"] == 2**53 + 1)
+    assert {r["doc_id"] for r in got} == {2**53 + 1, 2**53 + 3, None}
+    spans = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
+    assert all(a[1] + a[2] == b[1] if a[0] == b[0] else b[1] == 0 for a, b in zip(spans, spans[1:])) and spans[0][1] == 0
+
+
 @pytest.mark.parametrize("ids", [[], [1, 50256], [1, 70000]])
 def test_packed_ids(ids):
     assert packing.unpacked(packing.packed(np.array(ids, np.uint32))).tolist() == ids
