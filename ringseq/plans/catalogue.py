@@ -1,7 +1,7 @@
 """Named queries over the sequence views, and the same in SQL.
 
-Each query runs over a whole view. Where the SQL of an operator needs memory by the square of a sequence's length, the
-query is over a view of short sequences; the same operators over documents have no SQL and are tested by brute force.
+Each query runs over a whole view. The SQL of a least rotation tries all of a short sequence's; of a long one, those that
+begin with its least 64 bases.
 """
 
 from __future__ import annotations
@@ -69,9 +69,18 @@ _add("lmsr_index", "orders", lambda d: d.select("head", udfs.lmsr_index(F.col("s
 _CANON = f"SELECT ord, head, seq, least({_lmsr('n')}, {_lmsr('r')}) AS canon FROM (SELECT ord, head, seq, n, {_rc('n')} AS r FROM (SELECT ord, head, seq, {_NORM} AS n FROM {{view}}))"
 _add("canonicalize", "orders", lambda d: _HEAD_SEQ(ops.canonicalize(d)), f"SELECT head, canon AS seq FROM ({_CANON})")
 _add("canonicalize_rotated", "rotated", lambda d: _HEAD_SEQ(ops.canonicalize(d)), f"SELECT head, canon AS seq FROM ({_CANON})")
-_add("canonicalize_documents", "documents", lambda d: _HEAD_SEQ(ops.canonicalize(d)), None)
+
+
+def _long_lmsr(s: str, low: str) -> str:
+    return f"CASE WHEN length({s}) = 0 THEN {s} ELSE list_min(list_transform(list_filter(range(length({s})), lambda i: substr({s} || {s}, i + 1, 64) = {low}), lambda i: {s}[i + 1:] || {s}[:i])) END"
+
+
+_LOW = lambda s: f"list_min(list_transform(range(length({s})), lambda i: substr({s} || {s}, i + 1, 64)))"
+_LONG_CANON = f"""SELECT ord, head, seq, least({_long_lmsr('n', 'n_low')}, {_long_lmsr('r', 'r_low')}) AS canon
+  FROM (SELECT *, {_LOW('n')} AS n_low, {_LOW('r')} AS r_low FROM (SELECT ord, head, seq, n, {_rc('n')} AS r FROM (SELECT ord, head, seq, {_NORM} AS n FROM {{view}})))"""
+_add("canonicalize_documents", "documents", lambda d: _HEAD_SEQ(ops.canonicalize(d)), f"SELECT head, canon AS seq FROM ({_LONG_CANON})")
 for view in ("rotated", "documents"):
-    on, sql = ("", str) if view == "rotated" else ("_documents", lambda s: None)
+    on, sql = ("", str) if view == "rotated" else ("_documents", lambda s: s.replace(_CANON, _LONG_CANON))
     _add(f"uniq{on}", view, lambda d: ops.uniq(d), sql(f"SELECT ord, head, seq FROM ({_CANON}) QUALIFY row_number() OVER (PARTITION BY canon ORDER BY ord, head) = 1"))
     _add(f"uniq_canonical{on}", view, lambda d: ops.uniq(d, canonicalize=True), sql(f"SELECT ord, head, canon AS seq FROM ({_CANON}) QUALIFY row_number() OVER (PARTITION BY canon ORDER BY ord, head) = 1"))
     _add(f"uniq_table{on}", view, lambda d: ops.uniq_table(d), sql(f"SELECT id, duplicate_id FROM (SELECT split_part(first_value(head) OVER w, ' ', 1) AS id, split_part(head, ' ', 1) AS duplicate_id, row_number() OVER w AS n FROM ({_CANON}) WINDOW w AS (PARTITION BY canon ORDER BY ord, head)) WHERE n > 1"))
@@ -118,7 +127,7 @@ for name, options, sql in (
 ):
     _add(f"monomerize_{name}", "multimers", lambda d, o=options: _HEAD_SEQ(ops.monomerize(d, **o)), _monomers(_CUT, **sql))
     _add(f"monomerize_table_{name}", "multimers", lambda d, o=options: ops.monomerize_table(d, **o), _monomers(_ROWS, **sql))
-_add("monomerize_documents", "documents", lambda d: ops.monomerize_table(d, max_mismatch=1, keep_all=True), None)
+_add("monomerize_documents", "documents", lambda d: ops.monomerize_table(d, max_mismatch=1, keep_all=True), _monomers(_ROWS, allowed="1", where="TRUE"))
 
 # reading frames
 
@@ -173,7 +182,7 @@ for name, options, sql in (
 for name, options, less in (("", {}, 3), ("_include_stop", {"include_stop": True}, 0)):
     _add(f"orfs_fasta_sequence{name}", "orders", lambda d, o=options: ops.orfs(d, **o), _frames(_sequence(less), where=_DEFAULT))
     _add(f"orfs_table{name}", "orders", lambda d, o=options: ops.orfs_table(d, **o), _frames(_table(less), where=_DEFAULT))
-_add("orfs_documents", "documents", lambda d: ops.orfs_table(d, min_length=30), None)
+_add("orfs_documents", "documents", lambda d: ops.orfs_table(d, min_length=30), _frames(_table(3), where="length - 3 >= 30 AND stop IS NOT NULL"))
 
 
 def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
