@@ -380,16 +380,3 @@ def test_interval_join(seed, dims):
     near = {(min(p), max(p)) for p in pairs}
     edge = {p for p in near ^ want if abs(x[p[0]] @ x[p[1]] - t) > 1e-12}  # sums of another order may round otherwise
     assert len(near) == len(pairs) and not edge
-
-
-def test_pipeline(spark):
-    import corpus_pipeline as cp
-
-    sf = "/root/testdata/sf0.001"
-    docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), []
-    for name, stage in cp.STAGES:
-        out = stage(spark, docs, sf)
-        seen.append(out.count())
-        assert name == cp.STAGES[-1][0] or out.columns == docs.columns
-        docs = out if name == cp.STAGES[-1][0] else cp.save(out, name)
-    assert seen[0] <= 200 and seen[1] <= seen[0] and sorted(map(tuple, cp.run(spark, sf).collect())) == sorted(map(tuple, docs.collect()))
