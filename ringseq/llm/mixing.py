@@ -154,7 +154,7 @@ def _select(rows: DataFrame, due: dict, grid: int, zone: int) -> tuple[DataFrame
     return spark.createDataFrame(spans, "of string, lo long, hi long, fits double"), len(spans), every, every.count()
 
 
-def mix(docs: DataFrame, weights: list[float], max_repeats: float = 3.0, total: float | None = None, seed: int = 2, carry: list[str] | None = None, tilt: float = 0.125, grid: int = 65536, zone: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, weights: list[float], max_repeats: float = 3.0, total: float | None = None, seed: int = 2, carry: list[str] | None = None, tilt: float = 0.125, grid: int = 4096, zone: int = 4096) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, copies, taken = copies x size; and the columns to carry.
 
     grid, zone: cells summed at once and rows put in order at once; the result doesn't depend on them.
