@@ -73,6 +73,7 @@ def copy_numbers(rows: DataFrame, over: int = 64) -> tuple[DataFrame, int] | Non
     often = save(rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > over).select("k"), "often")
     n = often.count()
     if not n:
+        drop(often)
         return None
     own = save(rows.select("rid", "pid", "k").join(bounded(often, n), "k", "left_semi"), "repeated")
     counts = own.groupBy("k", "pid").agg(F.count("*").alias("n"))
@@ -81,6 +82,7 @@ def copy_numbers(rows: DataFrame, over: int = 64) -> tuple[DataFrame, int] | Non
     place = F.row_number().over(Window.partitionBy("k", "pid").orderBy("rid")) - 1
     numbers = own.withColumn("i", place).join(offsets, ["k", "pid"]).select("rid", (F.col("offset") + F.col("i")).cast("long").alias("no"))
     numbers = save(numbers, "numbers")
+    drop(often, own, offsets)
     return numbers, numbers.count()
 
 

@@ -169,14 +169,15 @@ def similar(vectors: DataFrame, t: float = 0.95, dims: int = 16, sample: int = 2
     classes = rows.where("fine").groupBy("h", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
     classes = save(classes.withColumn("width", F.size("embedding")).withColumn("c", F.monotonically_increasing_id()), "classes")
     widths = {r["width"]: r["n"] for r in classes.groupBy("width").agg(F.count("*").alias("n")).toLocalIterator()}
-    found = None
+    found, used = None, []
     for width, n in sorted(widths.items()):
-        part = _of_width(classes.where(F.col("width") == width), n, width, t, eps, dims, sample, task_bytes, least, stats)
+        part = _of_width(classes.where(F.col("width") == width), n, width, t, eps, dims, sample, task_bytes, least, stats, used)
         found = part if found is None else found.union(part)
     if found is None:
         label = classes.select("h", "embedding", F.lit(0).cast("long").alias("more"), "n", F.col("first").alias("component_id"))
     else:
         found = save(found, "found")
+        drop(*used)
         if stats is not None:
             for r in found.where("a is null").groupBy("b").agg(F.sum("n").alias("n")).collect():
                 stats[int(r["b"])]["compared"] = r["n"]
@@ -192,8 +193,8 @@ def similar(vectors: DataFrame, t: float = 0.95, dims: int = 16, sample: int = 2
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _of_width(classes: DataFrame, n: int, width: int, t: float, eps: float, dims: int, sample: int, task_bytes: int, least: int, stats: dict | None) -> DataFrame:
-    """Rows (a, b, n): a is linked to n vectors of other classes (b null); or a and b are linked (n zero); or n pairs of vectors of length b were compared (a null)."""
+def _of_width(classes: DataFrame, n: int, width: int, t: float, eps: float, dims: int, sample: int, task_bytes: int, least: int, stats: dict | None, used: list) -> DataFrame:
+    """Rows (a, b, n): a is linked to n vectors of other classes (b null); or a and b are linked (n zero); or n pairs of vectors of length b were compared (a null). The tables that they are read from are added to `used`."""
     spark = classes.sparkSession
     some = classes.select("embedding").orderBy(F.xxhash64("embedding")).limit(sample).toArrow()
     axes = basis(unit(matrix(some.column(0))), min(dims, width))
@@ -262,6 +263,7 @@ def _of_width(classes: DataFrame, n: int, width: int, t: float, eps: float, dims
         sent = wanted.join(by, "block").groupBy("pair").agg(F.sum(F.when(F.col("side") == 0, F.col("m"))).alias("x"), F.sum(F.when(F.col("side") == 1, F.col("m"))).alias("y"))
         sent = sent.agg(F.sum(F.when(F.col("y").isNull(), F.expr("x * (x - 1) div 2")).otherwise(F.col("x") * F.col("y")))).first()[0]
         stats[width] = {"vectors": n, "pairs": n * (n - 1) // 2, "sent": sent or 0, "compared": 0}
+    used += [placed, wanted]
     sides = placed.join(bounded(wanted, n_wanted), "block")
 
     def solve(got: pa.Table) -> pa.Table:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, copy_numbers, save, ship, slices, with_numbers
+from .common import bounded, copy_numbers, drop, save, ship, slices, with_numbers
 
 _ENCODERS: dict = {}
 #: White space in a row beyond which a text is cut for the ranks' pattern, whose stack a million exhausts.
@@ -231,7 +231,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, k
     full = max(512, int(counts.sum()) // 20000)
     salts = spark.createDataFrame([(n, -(-k // full)) for n, k in sorted(by_length.items())], "length int, salts long")
     rows = with_numbers(rows, copy_numbers(rows)).join(F.broadcast(salts), "length").withColumn("cell", F.pmod(F.xxhash64("k", "no"), "salts"))
-    rows = save(rows.drop("salts", "pid", "k"), "cells")
+    rows = cells = save(rows.drop("salts", "pid", "k"), "cells")
     first, at = [], dict.fromkeys(by_length, 0)
     for r in sorted(rows.groupBy("length", "cell").agg(F.count("*").alias("n")).collect()):
         first.append((r["length"], r["cell"], at[r["length"]]))
@@ -257,6 +257,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, k
     kind = docs.schema["doc_id"].dataType.simpleString()
     placed = rows.mapInArrow(f, f"doc_id {kind}, start long, length long, crc long, doc_tokens long, sequence_id long, offset long, rid long, from long, cut boolean")
     placed = save(placed, "placed")
+    drop(cells)
     cut = placed if keep_ids else placed.where("cut")
     cut = stored.select("rid", "ids").join(bounded(cut, cut.count()), "rid").withColumn("of", _part("ids", "from", "length"))
     columns = ["doc_id", "start", "length", F.col("of.crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"]
