@@ -59,7 +59,8 @@ def _keyed(df: DataFrame) -> DataFrame:
 
 def _first(keyed: DataFrame, df: DataFrame, canonicalize: bool) -> DataFrame:
     carried = [c for c in df.columns if not (canonicalize and c == "seq")]  # the form stands for the sequence: it is shuffled once
-    kept = keyed.groupBy("canonical_form").agg(F.min_by(F.struct(*carried), F.struct(*_order(df))).alias("kept")).select("canonical_form", "kept.*")
+    hashed = F.xxhash64("canonical_form").alias("form_hash")  # before the form: rows are sorted by it, and forms seldom compared
+    kept = keyed.groupBy(hashed, "canonical_form").agg(F.min_by(F.struct(*carried), F.struct(*_order(df))).alias("kept")).select("canonical_form", "kept.*")
     return (kept.withColumnRenamed("canonical_form", "seq") if canonicalize else kept).select(*df.columns)
 
 
