@@ -7,7 +7,7 @@ residual capacity is highest among those with room for it, or else among all.
 A group that is more than 1 / (shards x fine) of the bytes or rows is an item of its own; of these there are fewer than
 2 x shards x fine, whatever the input. Billions of smaller groups cannot be placed one by one: they are sorted into classes
 of like vectors (bytes and tokens of the text, to a power of two), and an item is a slice of a class, by a hash of the text,
-of a 16384th of the whole at most, hash's unevenness aside. Only a group larger than a whole shard's share is split, over
+of an 8192nd of the whole at most, hash's unevenness aside. Only a group larger than a whole shard's share is split, over
 pieces of a quarter of that share: no shard could hold it evenly. Every other group stays whole in one shard. Slots are
 numbered within slices and within parts of large groups, from offsets that come with the plan.
 
@@ -29,7 +29,7 @@ from .common import bounded, save, words
 #: Bytes that every row costs besides its text.
 ROW_BYTES = 8
 #: Parts of the whole that a slice holds one of.
-SLICES = 16384
+SLICES = 8192
 
 
 def place(items: np.ndarray, shards: int, weights: tuple[float, ...] = (1.0, 1.0, 1.0)) -> np.ndarray:
@@ -47,7 +47,7 @@ def place(items: np.ndarray, shards: int, weights: tuple[float, ...] = (1.0, 1.0
     return out
 
 
-def shard(docs: DataFrame, shards: int = 24, fine: int = 512) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, fine: int = 256) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard)."""
     spark = docs.sparkSession
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -69,7 +69,7 @@ def shard(docs: DataFrame, shards: int = 24, fine: int = 512) -> DataFrame:
     salt = F.xxhash64("rid")  # not of the id: ids may be null or repeated
     piece = F.concat_ws("/", F.lit("g"), "big", F.pmod(salt, F.col("pieces")), F.pmod(F.shiftrightunsigned(salt, 20), F.col("parts")))
     rows = rows.withColumn("cell", F.when(F.col("big").isNull(), F.concat_ws("/", "class", F.pmod("h", "slices"))).otherwise(piece))
-    # some 100,000 cells at most, whatever the input: slices, large groups, their pieces and parts
+    # some 60,000 cells at most, whatever the input: slices, large groups, their pieces and parts
     found = sorted(rows.groupBy("cell").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect())
     item = [r["cell"] if r["cell"][0] == "c" else r["cell"].rpartition("/")[0] for r in found]
     names = sorted(set(item))
