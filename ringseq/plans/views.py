@@ -22,13 +22,13 @@ def _sql_hashed(key: str, blocks: str) -> str:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Keys in as many partitions as there are cores: a small file is one task otherwise, and what follows is work."""
+    """Rows in as many partitions as there are cores: a small file is one task otherwise, and what follows is work."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = _spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
     return d.select(F.col("doc_id").alias("ord"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(" "), "lang").alias("head"), F.regexp_replace("text", "[^ACGTUNacgtun]", "").alias("seq"))
 
 
