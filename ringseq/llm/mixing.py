@@ -128,7 +128,9 @@ def _select(rows: DataFrame, due: dict, grid: int, zone: int) -> tuple[DataFrame
         # the zone: the cell where the words are met, and those after it while they have few rows
         last = F.max(F.when(F.col("n_before") + F.col("n") <= F.col("met.n_before") + zone, F.col("cell")))
         found = sums.groupBy("of", "lo", "hi", "fits").agg(F.min("met").alias("met"), last.alias("last"), F.sum("words").alias("words")).collect()  # a row for each source at most
-        state, zones = [], []
+        # where nothing fits, go on after it
+        there = {r["of"] for r in found}
+        state, zones = [(of, hi, PLACES, fits) for of, _, hi, fits in state if of not in there and hi < PLACES], []
         for r in found:
             of, lo, hi, fits, m = r["of"], r["lo"], r["hi"], r["fits"], r["met"]
             if m is None:  # all that fit are taken
