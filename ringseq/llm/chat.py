@@ -7,7 +7,8 @@ context only: the loss mask covers the text of each assistant turn in the one wi
 A turn is `<|im_start|>role newline text<|im_end|>newline`. In roles and texts a backslash is doubled and `<|` becomes `<\\|`, so a
 control string can't come from a text; read_back() undoes it.
 
-Defined results: null roles and texts count as empty; rows of a conversation are ordered by turn (null last), then role and
+Defined results: null roles and texts count as empty; rows of a null conversation are one conversation, and ids of 64 bits
+stay exact beside it; rows of a conversation are ordered by turn (null last), then role and
 text, so repeated rows stay; a turn larger than the budget is a window of its own, beside the system turn; a conversation
 of a system turn alone is one window; an empty table gives an empty one. A conversation is streamed turn by turn from a
 sorted partition, never gathered.

@@ -16,8 +16,8 @@ The basis is fitted on a bounded sample (`sample` vectors by hash); any orthonor
 prunes less. Boxes, a row for each block, come to the driver; pairs of intervals are found from them by executors.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing, nor do vectors of
-different lengths with each other; repeated rows are vectors of their own, linked to each other; an empty table gives an
-empty one.
+different lengths with each other; repeated rows are vectors of their own, linked to each other; a null id is never the least
+of a component that has another; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ a writer keeps a batch of them, a reader one. Archives are split between tasks b
 Records of equal payloads are written once (see roles()): the others are revisit records that name the first by its
 identifier and carry its digest and length in their header.
 
-Defined results: null payloads are empty; an empty payload is one chunk of no bytes; repeated rows (same identifier and
+Defined results: a null identifier is written empty and read as one; null payloads are empty; an empty payload is one chunk of no bytes; repeated rows (same identifier and
 payload) are all responses if they are the one to keep; an empty table gives archives of no records; chunks that are missing,
 or don't add up to the declared length, are an error.
 """

@@ -43,6 +43,9 @@ def test_marginals_are_exact():
         total += p
         good += p * np.array(y)
     assert np.allclose(f.marginals(x), good / total)
+    for text in (GOOD, BAD, "", "one"):
+        own, _ = quality.own_features(text)
+        assert np.allclose(f.evidence(own), quality.with_neighbours(own) @ f.weights)
 
 
 def test_gradient_of_the_field():
@@ -189,6 +192,15 @@ def test_mixing_passes_over_a_very_long_document(spark, seed):
     assert 0 <= left < min([r["size"] for r in got if not r["copies"]])
 
 
+def test_mixing_goes_on_after_a_cell_where_nothing_fits(spark):
+    cell = mixing.PLACES // 4
+    rows = [(None, 5, 1), (None, 8, cell + 1), (None, 8, cell + 2), (None, 9, cell + 3), (None, 5, 2 * cell + 1), (None, 1, 3 * cell)]
+    table = spark.createDataFrame([(s, n, float(at), at, i, i, 0) for i, (s, n, at) in enumerate(rows)], "source string, size long, rank double, place long, rid long, k long, no long")
+    spans, _, hits, _ = mixing._select(table, {None: 10.0}, 4, 1)
+    within = [i for i, (_, n, at) in enumerate(rows) if any(r["lo"] <= at < r["hi"] and n <= r["fits"] for r in spans.collect())]
+    assert sorted(within + [r["rid"] for r in hits.collect()]) == [0, 4]
+
+
 def test_copies_due():
     due = mixing.copies_due({0: 10, 3: 100, 8: 1000}, 1500.0, 3.0, 0.125)
     assert sum(n * due[c] for c, n in {0: 10, 3: 100, 8: 1000}.items()) == pytest.approx(1500) and due[8] / due[0] == pytest.approx(2)
