@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ringseq.deploy import drop, drop_at_end, new_dir, save, ship
 
-__all__ = ["WORD", "bounded", "copy_numbers", "crc32_of_id", "drop", "drop_at_end", "mapped", "new_dir", "row_hash", "save", "ship", "slices", "table", "with_numbers", "words"]
+__all__ = ["WORD", "bounded", "copy_numbers", "crc32_of_id", "drop", "drop_at_end", "mapped", "new_dir", "row_hash", "save", "ship", "slices", "table", "values", "with_numbers", "words"]
 
 #: White space that separates words: space and the bytes 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,6 +53,12 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator
         at = end
 
 
+def values(column: pa.Array, rows: int = 256) -> Iterator:
+    """A column's values, of a few rows at a time as Python objects."""
+    for i in range(0, len(column), rows):
+        yield from column[i : i + rows].to_pylist()
+
+
 def _has_map(t: DataType) -> bool:
     if isinstance(t, StructType):
         return any(_has_map(f.dataType) for f in t)

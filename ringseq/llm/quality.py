@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, ship, slices
+from .common import crc32_of_id, save, ship, slices, values
 
 _SYMBOL = re.compile(r"[^\w\s.,;:'\"()?-]")
 _DIGIT = re.compile(r"\d")
@@ -90,8 +90,22 @@ class Field:
     shift: float = 0.0
 
     def marginals(self, x: np.ndarray) -> np.ndarray:
-        """P(good) of each line, by forward-backward on the ratio good to bad."""
-        e = np.exp(np.clip(x @ self.weights, -30, 30)).tolist()
+        """P(good) of each line of x [lines, WIDTH]."""
+        return self._marginals(x @ self.weights)
+
+    def evidence(self, own: np.ndarray) -> np.ndarray:
+        """with_neighbours(own) @ weights, without that matrix."""
+        a, b, c = self.weights[: 3 * OWN].reshape(3, OWN) @ own.T
+        e = a + self.weights[-1]
+        e[1:] += b[:-1]
+        e[:-1] += c[1:]
+        e[0] += self.weights[-3]
+        e[-1] += self.weights[-2]
+        return e
+
+    def _marginals(self, evidence: np.ndarray) -> np.ndarray:
+        """By forward-backward on the ratio good to bad."""
+        e = np.exp(np.clip(evidence, -30, 30)).tolist()
         (bb, bg), (gb, gg) = np.exp(self.table).tolist()
         n, ahead, r = len(e), [], e[0]
         for t in range(n):
@@ -109,7 +123,8 @@ class Field:
         return float(self.marginals(x) @ lengths / lengths.sum())
 
     def score(self, text: str | None) -> float:
-        m = min(1 - 1e-6, max(1e-6, self.mean(*features(text))))
+        own, lengths = own_features(text)
+        m = min(1 - 1e-6, max(1e-6, float(self._marginals(self.evidence(own)) @ lengths / lengths.sum())))
         return 1 / (1 + math.exp(-min(30, max(-30, self.slope * math.log(m / (1 - m)) + self.shift))))
 
 
@@ -212,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2500, max_lines: int
     at = spark.createDataFrame([(i, y, k) for k, (i, y) in enumerate(picked)], known.withColumn("place", F.lit(0)).schema)
     # one row an id, however often it comes: the least text, by a partial aggregate
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(at), "doc_id").groupBy("place", "y").agg(F.min("text").alias("text"))
-    rows = rows.withColumn("n", F.size(F.split("text", "\n"))).where(F.col("n") <= max_lines)
+    rows = save(rows.withColumn("n", F.size(F.split("text", "\n"))).where(F.col("n") <= max_lines), "labelled")
     took, use = {0: 0, 1: 0}, []
     for r in sorted(rows.select("place", "y", "n").collect()):
         if took[r["y"]] + r["n"] <= total_lines // 2:
@@ -242,6 +257,6 @@ def scored(docs: DataFrame, field: Field, text: str = "text", to: str = "score")
 
     @F.arrow_udf("double")
     def f(s: pa.Array) -> pa.Array:
-        return pa.array([field.score(x.as_py()) for x in s], pa.float64())
+        return pa.array([field.score(x) for x in values(s)], pa.float64())
 
     return docs.withColumn(to, f(F.col(text)))
