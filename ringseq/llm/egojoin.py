@@ -12,7 +12,8 @@ skipped. In the smallest, the cosine of the projections leaves candidates, and t
 Equal vectors are one class, joined once. A pair of intervals gives, for each class, the number of vectors linked to it
 (a sum, not the pairs) and as many links as connect what it has connected. So rows grow with the vectors.
 
-The basis is fitted on a bounded sample (`sample` vectors by hash); any orthonormal basis gives the same links, it only
+Vectors of one length are joined after those of another. The basis is fitted on a bounded sample (`sample` vectors by hash,
+64 MB of them); any orthonormal basis gives the same links, it only
 prunes less. Boxes, a row for each block, come to the driver; pairs of intervals are found from them by executors.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing, nor do vectors of
@@ -36,6 +37,8 @@ from .graph import components
 LEAF = 256
 #: Blocks of an interval that have a box each.
 SUBS = 8
+#: Components, in double precision, that come to the driver for the basis; of very long vectors 1000 all the same.
+SAMPLE_BYTES = 64 << 20
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -196,6 +199,7 @@ def similar(vectors: DataFrame, t: float = 0.95, dims: int = 16, sample: int = 2
 def _of_width(classes: DataFrame, n: int, width: int, t: float, eps: float, dims: int, sample: int, task_bytes: int, least: int, stats: dict | None, used: list) -> DataFrame:
     """Rows (a, b, n): a is linked to n vectors of other classes (b null); or a and b are linked (n zero); or n pairs of vectors of length b were compared (a null). The tables that they are read from are added to `used`."""
     spark = classes.sparkSession
+    sample = min(sample, max(1000, SAMPLE_BYTES // (8 * width)))
     some = classes.select("embedding").orderBy(F.xxhash64("embedding")).limit(sample).toArrow()
     axes = basis(unit(matrix(some.column(0))), min(dims, width))
     limit = eps * eps * (1 + 1e-9) + 1e-12
