@@ -59,15 +59,21 @@ def encoder(tokenizer: str):
     text of a special token go by the JSON file. Very much white space in a row is encoded apart from the ranks' pattern.
     """
     if tokenizer not in _ENCODERS:
+        import json
         import os
+        from functools import lru_cache
         from pathlib import Path
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
 
-        slow = Tokenizer.from_file(tokenizer)
-        plain = lambda text: slow.encode(text, add_special_tokens=False).ids
-        special = [t.content for t in slow.get_added_tokens_decoder().values()]
+        @lru_cache(maxsize=1)
+        def slow():  # made when a text needs it: it takes 40 MB
+            from tokenizers import Tokenizer
+
+            return Tokenizer.from_file(tokenizer)
+
+        plain = lambda text: slow().encode(text, add_special_tokens=False).ids
+        special = [t["content"] for t in json.loads(Path(tokenizer).read_text("utf-8"))["added_tokens"]]
         ranks = Path(tokenizer).with_suffix(".tiktoken")
         found = plain
         if ranks.exists():

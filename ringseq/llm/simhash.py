@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, row_hash, save, ship
+from .common import bounded, row_hash, save, ship, values
 from .graph import components
 
 #: Fixed values of the fingerprint: seed of XXH64, bits.
@@ -57,7 +57,7 @@ def fingerprints(text: Column, shingle: int = 4) -> Column:
 
     @F.arrow_udf("long")
     def f(s: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(x.as_py(), shingle) for x in s], np.uint64).view(np.int64))
+        return pa.array(np.array([fingerprint(x, shingle) for x in values(s)], np.uint64).view(np.int64))
 
     return f(text)
 
