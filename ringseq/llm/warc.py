@@ -113,23 +113,27 @@ def write_records(out: BinaryIO, chunks: Iterable[Chunk], packed: bool = True) -
         if packed:
             member.close()
 
-    for record_id, uri, digest, size, refers_to, chunk, data in chunks:
-        if chunk == 0:
-            if member is not None:
-                end()
-            member = gzip.GzipFile(fileobj=out, mode="wb", compresslevel=3, mtime=0) if packed else out
-            member.write(_head(record_id or "", uri, digest, size, refers_to))
-            left, n = 0 if refers_to is not None else size, n + 1
-        elif chunk != due:
-            raise ValueError(f"chunk {due} of record {record_id} is missing")
-        due = chunk + 1
-        if refers_to is None:
-            if len(data) > left:
-                raise ValueError(f"record {record_id} is longer than declared")
-            member.write(data)
-            left -= len(data)
-    if member is not None:
-        end()
+    try:
+        for record_id, uri, digest, size, refers_to, chunk, data in chunks:
+            if chunk == 0:
+                if member is not None:
+                    end()
+                member = gzip.GzipFile(fileobj=out, mode="wb", compresslevel=3, mtime=0) if packed else out
+                member.write(_head(record_id or "", uri, digest, size, refers_to))
+                left, n = 0 if refers_to is not None else size, n + 1
+            elif chunk != due:
+                raise ValueError(f"chunk {due} of record {record_id} is missing")
+            due = chunk + 1
+            if refers_to is None:
+                if len(data) > left:
+                    raise ValueError(f"record {record_id} is longer than declared")
+                member.write(data)
+                left -= len(data)
+        if member is not None:
+            end()
+    finally:
+        if packed and member is not None:
+            member.close()
     return n
 
 
