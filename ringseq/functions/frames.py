@@ -57,8 +57,7 @@ def codons(data: np.ndarray, at: np.ndarray, starts: tuple[str, ...], stops: tup
         for c in {x.encode() for x in codons}:
             if len(c) == 3:
                 hit |= (data == c[0]) & (one == c[1]) & (two == c[2])
-        for i in at[:-1][size == 1].tolist():
-            hit[i] = False
+        hit[at[:-1][size == 1]] = False
         return hit
 
     is_start = met(starts)
@@ -122,7 +121,7 @@ def frames(seqs: pa.Array, starts: tuple[str, ...], stops: tuple[str, ...], stra
         of, s, stop, wraps, length = (np.concatenate([x[k] for x in found]) for k in range(5))
         back = np.concatenate([np.full(len(x[0]), x[5], np.int64) for x in found])
         size = np.diff(places)[of]
-        keep = (length - 3 >= min_length) & (wraps >= min_wraps) & (wraps <= max_wraps) & (length >= min_ratio * size if min_ratio <= 0 else length / size >= min_ratio)
+        keep = (length - 3 >= min_length) & (wraps >= min_wraps) & (wraps <= max_wraps) & (length / size >= min_ratio)
         if stop_required:
             keep &= stop >= 0
         of, s, stop, wraps, length, back = (x[keep] for x in (of, s, stop, wraps, length, back))
